@@ -8,9 +8,9 @@ toxic, 2 for good clean text.  The model is proportional odds,
 with one weight vector shared by all grades and ordered thresholds.  Features
 are hashed (2^24 buckets): each distinct word, its first four and five
 characters, and the share of distinct words of each character shape; besides,
-the ratio of distinct words to words.  Only buckets that occur in at least
-``min_documents`` rated texts get a weight, the rest are exactly 0, so unseen
-words cannot move a score by collision with noise.
+the share of words that repeat the word before (shares count in full from 1/8).
+Words get a weight only if a test on the rated texts shows that they flag a
+lower grade, the rest are exactly 0, so unseen words cannot move a score.
 
 The expected grade and the tail probability P(grade >= ``top``) are returned; a
 document is kept if the tail probability is at least ``keep_at``.
@@ -32,6 +32,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +44,11 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import slices, to_batch
 
 BUCKETS = 1 << 24
-SAMPLE = 6_000
+SAMPLE = 4_000
 TOP = 2
 WORD_CACHE = 400_000
-VARIETY = BUCKETS  # bucket of the ratio of distinct words
+SHAPES = 1 << 20
+REPEATS = BUCKETS  # bucket of the share of words that repeat their predecessor
 
 _SHAPE = [(re.compile(p), r) for p, r in ((r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a"), (r"\d+", lambda m: "0"), (r"([^\w])\1+", lambda m: m[1] * 2))]
 
@@ -55,29 +59,41 @@ def _bucket(kind: str, value: str) -> int:
     return xxh32_intdigest(f"{kind}\0{value}".encode("utf-8", "replace")) % BUCKETS
 
 
+@lru_cache(200_000)
 def word_buckets(word: str) -> tuple[tuple[int, ...], int]:
     """Buckets of a word's presence features, and of its shape."""
     low = word.lower()
     shape = word[:40]
     for pattern, repl in _SHAPE:
         shape = pattern.sub(repl, shape)
-    return (_bucket("w", low), _bucket("4", low[:4]), _bucket("5", low[:5])), _bucket("s", shape[:8])
+    return (_bucket("w", low), _bucket("4", low[:4]), _bucket("5", low[:5])), BUCKETS + 1 + _bucket("s", shape[:8]) % SHAPES
+
+
+def repeats(words: list[str]) -> float:
+    return sum(map(eq, words, islice(words, 1, None))) / len(words)
 
 
 def features(text: str | None) -> dict[int, float]:
     words = (text or "").split()
     distinct = set(words)
     out: dict[int, float] = {}
+    shapes: dict[int, int] = {}
     for w in distinct:
         present, shape = word_buckets(w)
         for b in present:
-            out[b] = out.get(b, 0.0) + 1.0
-        out[shape] = out.get(shape, 0.0) + 1.0 / len(distinct)
+            out[b] = 1.0
+        shapes[shape] = shapes.get(shape, 0) + 1
+    for b, n in shapes.items():
+        out[b] = min(1.0, SATURATE * n / len(distinct))
     if words:
-        out[VARIETY] = len(distinct) / len(words)
+        out[REPEATS] = min(1.0, SATURATE * repeats(words))
     return out
 
 
+#: A shape that makes up this inverse share of a text's words counts in full.
+SATURATE = 8.0
+
+
 @dataclass
 class OrdinalModel:
     """Sparse weights and ordered thresholds."""
@@ -90,8 +106,33 @@ class OrdinalModel:
         return [1.0 / (1.0 + np.exp(np.clip(t - score, -500, 500))) for t in self.thresholds]
 
 
-def fit(grades: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], *, min_documents: int = 3, steps: int = 200, rate: float = 0.05, l1: float = 2e-4) -> OrdinalModel:
-    """Maximum likelihood with an L1 penalty by proximal Adam, deterministic."""
+def _flags(col, row, grades, size: int, least: float) -> np.ndarray:
+    """Features that a lower grade shows more often than the top one, by a z-test on documents."""
+    n_top = (grades == grades.max()).sum()
+    top = np.bincount(col[(grades == grades.max())[row]], minlength=size)
+    out = np.zeros(size, bool)
+    for k in range(int(grades.max())):
+        m = grades == k
+        if m.any():
+            here = np.bincount(col[m[row]], minlength=size)
+            pooled = (here + top + 1) / (m.sum() + n_top + 2)
+            out |= (here / m.sum() - top / n_top) / np.sqrt(pooled * (1 - pooled) * (1 / m.sum() + 1 / n_top)) >= least
+    return out
+
+
+def fit(grades: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], *, min_documents: int = 3, least_z: float = 5.0, most_share: float = 0.1, steps: int = 300, rate: float = 0.1, l1: float = 1e-4) -> OrdinalModel:
+    """Maximum likelihood with an L1 penalty by proximal Adam, deterministic.
+
+    Presence features get a weight only if they flag a lower grade, and none
+    above 0: good words do not make up for bad ones, however long the text.
+    Equal rows count once, so copies are no evidence.
+    """
+    once: dict[tuple, int] = {}
+    for i, (g, (a, b)) in enumerate(zip(grades.tolist(), rows)):
+        order = np.argsort(a, kind="stable")
+        once.setdefault((g, a[order].tobytes(), b[order].tobytes()), i)
+    pick = sorted(once.values())
+    grades, rows = grades[pick], [rows[i] for i in pick]
     levels = int(grades.max()) if len(grades) else 0
     if len(np.unique(grades)) < 2:
         return OrdinalModel()
@@ -99,9 +140,12 @@ def fit(grades: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], *, min_do
     value = np.concatenate([v for _, v in rows]).astype(np.float64)
     row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
     names, col, seen = np.unique(index, return_inverse=True, return_counts=True)
-    ok = (seen >= min_documents) & (seen <= len(rows) * 0.98) | (names == VARIETY)
+    present = names < BUCKETS
+    ok = seen >= max(min_documents, len(rows) // 400)
+    ok &= ~present | (seen <= most_share * len(rows)) & _flags(col, row, grades, len(names), least_z)
     keep = ok[col]
     names, remap = names[ok], np.cumsum(ok) - 1
+    present = names < BUCKETS
     col, row, value = remap[col[keep]], row[keep], value[keep]
     n, d = len(rows), len(names)
     w, raw = np.zeros(d), np.zeros(levels)
@@ -136,6 +180,7 @@ def fit(grades: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], *, min_do
             if x is w:
                 lim = np.minimum(scale * l1, 0.02)
                 x[:] = np.sign(x) * np.maximum(np.abs(x) - lim, 0)
+                x[present] = np.minimum(x[present], 0)
     theta = raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
     live = np.flatnonzero(w)
     return OrdinalModel({int(names[i]): float(w[i]) for i in live}, tuple(map(float, theta)))
@@ -176,7 +221,7 @@ class Scorer:
     def __init__(self, model: OrdinalModel):
         self.get = model.weights.get
         self.model = model
-        self.variety = self.get(VARIETY, 0.0)
+        self.repeats = self.get(REPEATS, 0.0)
         self.cache: dict[str, tuple[float, float]] = {}
 
     def score(self, text: str | None) -> float:
@@ -185,17 +230,22 @@ class Scorer:
             return 0.0
         distinct = set(words)
         cache, get = self.cache, self.get
-        present = shapes = 0.0
+        shapes: dict[int, int] = {}
+        flags: set[int] = set()
         for w in distinct:
             v = cache.get(w)
             if v is None:
                 if len(cache) >= WORD_CACHE:
                     cache.clear()
                 p, s = word_buckets(w)
-                v = cache[w] = (sum(get(b, 0.0) for b in p), get(s, 0.0))
-            present += v[0]
-            shapes += v[1]
-        return present + shapes / len(distinct) + self.variety * len(distinct) / len(words)
+                v = cache[w] = (tuple(b for b in p if b in self.model.weights), s)
+            if v[0]:
+                flags.update(v[0])
+            shapes[v[1]] = shapes.get(v[1], 0) + 1
+        score = sum(map(self.model.weights.__getitem__, flags)) + self.repeats * min(1.0, SATURATE * repeats(words))
+        for s, n in shapes.items():
+            score += get(s, 0.0) * min(1.0, SATURATE * n / len(distinct))
+        return score
 
 
 def score_documents(docs: DataFrame, model: OrdinalModel, *, keep_at: float = 0.5) -> DataFrame:
