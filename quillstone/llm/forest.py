@@ -2,9 +2,9 @@
 
 *Trees.*  Each of ``TREES`` trees splits recursively: a random direction, the
 median of the projections as threshold, and a spill band around it, in which a
-vector goes to both sides.  Splitting stops at small nodes, and at nodes that a
-split does not thin out (a dense group lies wholly in the band): such a group
-stays together in one leaf, whatever its size, so its pairs are never parted.
+vector goes to both sides (``SPILL`` wide, but at most ``OVERLAP`` of the node's
+vectors on either side).  Splitting stops at small nodes, and at nodes that the
+whole band would not thin out (a dense group): such a group stays together in one leaf, whatever its size, so its pairs are never parted.
 Trees are fitted on at most ``SAMPLE`` vectors (the documented bound) and then
 place every vector.
 
@@ -44,6 +44,7 @@ SAMPLE = 20_000
 LEAF = 384
 LEAST_SAMPLE = 24
 SPILL = 0.05
+OVERLAP = 0.05
 THINNING = 0.85
 BLOCK = 1_500
 SEED = 4_711
@@ -56,7 +57,7 @@ class Tree:
         rng = np.random.default_rng(seed)
         self.spill, self.leaves = spill, 0
         self.direction: list[np.ndarray] = []
-        self.threshold: list[float] = []
+        self.band: list[tuple[float, float]] = []
         self.children: list[list[int]] = []
         self.root = self._grow(points, np.arange(len(points)), leaf_size, rng, 0)
 
@@ -71,12 +72,14 @@ class Tree:
         direction /= np.linalg.norm(direction)
         p = points[rows] @ direction
         t = float(np.median(p))
-        left, right = rows[p <= t + self.spill], rows[p >= t - self.spill]
-        if max(len(left), len(right)) > THINNING * len(rows):
+        if max((p <= t + self.spill).sum(), (p >= t - self.spill).sum()) > THINNING * len(rows):
             return self._leaf()
+        low, high = np.quantile(p, (0.5 - OVERLAP, 0.5 + OVERLAP)) if self.spill else (t, t)
+        low, high = max(float(low), t - self.spill), min(float(high), t + self.spill)
+        left, right = rows[p <= high], rows[p >= low]
         me = len(self.children)
         self.direction.append(direction)
-        self.threshold.append(t)
+        self.band.append((low, high))
         self.children.append([0, 0])
         self.children[me][0] = self._grow(points, left, leaf_size, rng, depth + 1)
         self.children[me][1] = self._grow(points, right, leaf_size, rng, depth + 1)
@@ -94,9 +97,9 @@ class Tree:
                 leaf_out.append(np.full(len(rows), -1 - node, np.int64))
                 continue
             p = points[rows] @ self.direction[node]
-            t = self.threshold[node]
-            stack.append((self.children[node][0], rows[p <= t + self.spill]))
-            stack.append((self.children[node][1], rows[p >= t - self.spill]))
+            low, high = self.band[node]
+            stack.append((self.children[node][0], rows[p <= high]))
+            stack.append((self.children[node][1], rows[p >= low]))
         if not rows_out:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate(rows_out), np.concatenate(leaf_out)

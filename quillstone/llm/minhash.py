@@ -14,9 +14,10 @@
 5. *Links.*  Candidates pass the Hamming test on whole signatures, then the
    exact test ``100 * |A & B| >= percent * |A | B|`` on whole sets.
 6. *No pairs within groups.*  Only connectivity is asked for, so a key's
-   classes are first compared with one centre, found links are contracted to
-   components, and this is repeated with another centre for the keys that still
-   hold several components.  What then remains is compared completely, each
+   classes are first compared with one centre (the class that has most company
+   in its keys, as the least changed copy of a group has), found links are
+   contracted to components, and this is repeated with other centres for the
+   keys that still hold several components.  What then remains is compared completely, each
    pair of classes of different components once.  Nothing is capped.
 
 At similarity s a component differs with probability 1 - s; with 64 components
@@ -45,7 +46,7 @@ from quillstone.llm.components import components
 COMPONENTS = 64
 CHUNKS = 13
 RADIUS = 25
-STAR_ROUNDS = 2
+STAR_ROUNDS = 5
 WORD_CACHE = 400_000
 
 _U = np.uint64
@@ -219,11 +220,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prepared = scratch.save(_prepare(docs, words), "prepared")
     full = prepared.where("cls is not null")
-    classes = scratch.save(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    classes = scratch.save(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig")), "classes")
     keys = scratch.save(_emit_keys(classes), "keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    active = scratch.save(keys.join(shared, "key"), "active")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    raw = scratch.save(keys.join(shared, "key"), "shared")
     scratch.drop(keys)
+    # how much company a class has in all its keys: the least changed copy of a group has most
+    weight = raw.groupBy("cls").agg(F.sum("n").alias("weight")).join(classes.select("cls", "size"), "cls")
+    active = scratch.save(raw.join(weight, "cls").select("key", "cls", "size", "weight"), "active")
+    scratch.drop(raw)
     wanted = classes.join(active.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("doc_id"))
     found = _sets(docs.join(wanted, "doc_id", "left_semi"), words)
     sets = scratch.save(found.groupBy("cls").agg(F.first("elements").alias("elements")), "sets")
@@ -232,16 +237,19 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     for turn in range(STAR_ROUNDS + 1):
         rows = active.withColumn("comp", F.col("cls"))
         if labels is not None:
-            rows = active.join(labels, active.cls == labels.node, "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
-        state = rows.groupBy("key").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "comp")).alias("mid")
-        ).where("lo < hi")
+            rows = active.join(labels, active.cls == labels.node, "left").select(*active.columns, F.coalesce("component", "cls").alias("comp"))
+        # the centre: most company, a little shaken so that each round tries another one
+        shake = F.col("weight") * (1 - F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(1000)) / 1000 * F.lit(0.1 * min(turn, 3)))
+        state = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct(shake.alias("h"), "cls", "comp", "size")).alias("mid")).where("lo < hi")
+        state = state.select("key", F.col("mid.cls").alias("c"), F.col("mid.comp").alias("other"), F.col("mid.size").alias("csize"))
         if turn < STAR_ROUNDS:
-            pairs = rows.join(state, "key").where("comp <> mid.comp").select(F.least("cls", "mid.cls").alias("a"), F.greatest("cls", "mid.cls").alias("b"))
+            near = F.least(rows["size"], state["csize"]) * 100 >= F.greatest(rows["size"], state["csize"]) * percent
+            pairs = rows.join(state, (rows["key"] == state["key"]) & (rows["comp"] != state["other"]) & near).select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b"))
         else:
             rest = scratch.save(rows.join(state.select("key"), "key"), "rest")
-            other = rest.select("key", F.col("cls").alias("b"), F.col("comp").alias("other"))
-            pairs = rest.join(other, "key").where("comp < other").select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b"))
+            other = rest.select(F.col("key").alias("k"), F.col("cls").alias("c"), F.col("comp").alias("other"), F.col("size").alias("csize"))
+            near = F.least(rest["size"], other["csize"]) * 100 >= F.greatest(rest["size"], other["csize"]) * percent
+            pairs = rest.join(other, (rest["key"] == other["k"]) & (rest["comp"] < other["other"]) & near).select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
