@@ -25,7 +25,7 @@ def apply_modifiers(quality: Column, modifiers: Column) -> Column:
     """Quality times the penalty of each modifier, clamped to [0, 0.99]; an unknown modifier gives null."""
     table = F.create_map(*(x for k, v in PENALTIES.items() for x in (F.lit(k), F.lit(v).cast(WIDE))))
     product = F.aggregate(modifiers, quality.cast(WIDE), lambda acc, m: (acc * F.try_element_at(table, m)).cast(WIDE))
-    return F.greatest(F.lit("0").cast(WIDE), F.least(product, F.lit(CEILING).cast(WIDE)))
+    return F.when(product.isNotNull(), F.greatest(F.lit("0").cast(WIDE), F.least(product, F.lit(CEILING).cast(WIDE))))
 
 
 def apply_boosts(value: Column, n: Column) -> Column:
