@@ -160,6 +160,7 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
+        self.largest = max(self.lib.get_vocab(with_added_tokens=True).values())
         by = {"L": _ranges("L"), "N": _ranges("N"), "Z": _ranges("Z", "\t\n\v\f\r\x85")}
         self.find = re.compile("".join(by.get(p, p) for p in re.split(r"\{([LNZ])\}", self.WORDS))).findall
         # combining marks, what folds to them, and special tokens: left to the library
@@ -206,19 +207,29 @@ def _words(path: str) -> WordTokenizer:
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """``(doc_id, n, ids)``: ids as u4 bytes with the end id, as the library gives them."""
+    """``(doc_id, n, ids)``: ids with the end id, as the library gives them.
+
+    They are bytes of u2 where every id of the vocabulary fits, else of u4
+    (:func:`unpacked`), so that what is saved and shuffled is no wider than needed.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         w = _words(tokenizer_path)
+        width = "<u2" if max(w.largest, end_id) < 1 << 16 else "<u4"
         for s in slices(batches, ["doc_id", "text"]):
-            ids = [x + tail for x in w.encode_many(s["text"])]
-            yield to_batch(schema, doc_id=s["doc_id"], n=[len(x) // 4 for x in ids], ids=ids)
+            ids = [np.frombuffer(x + tail, "<u4") for x in w.encode_many(s["text"])]
+            yield to_batch(schema, doc_id=s["doc_id"], n=[len(x) for x in ids], ids=[x.astype(width).tobytes() for x in ids])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary")
 
 
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    """The ``n`` ids that :func:`encode` put into ``raw``."""
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
+
+
 def write_files(encoded: DataFrame, folder: str, files: int) -> None:
     """Pack ``(doc_id, n, ids)`` into token files under ``folder``, ascending by doc_id."""
     schema = pa.schema([("file", pa.binary())])
@@ -227,9 +238,9 @@ def write_files(encoded: DataFrame, folder: str, files: int) -> None:
         from pyspark import TaskContext
 
         part, seq, held, keys, rows = TaskContext.get().partitionId(), 0, 0, [], []
-        for s in slices(batches, ["doc_id", "ids"]):
-            for d, raw in zip(s["doc_id"], s["ids"]):
-                ids = np.frombuffer(raw, "<u4")
+        for s in slices(batches, ["doc_id", "n", "ids"]):
+            for d, n, raw in zip(s["doc_id"], s["n"], s["ids"]):
+                ids = unpacked(raw, n)
                 if rows and held + len(ids) > FILE_IDS:
                     yield to_batch(schema, file=[pack_file(part, seq, keys, rows)])
                     seq, held, keys, rows = seq + 1, 0, [], []
@@ -239,7 +250,7 @@ def write_files(encoded: DataFrame, folder: str, files: int) -> None:
         if rows:
             yield to_batch(schema, file=[pack_file(part, seq, keys, rows)])
 
-    packed = encoded.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids").select("doc_id", "ids").mapInArrow(run, "file binary")
+    packed = encoded.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids").select("doc_id", "n", "ids").mapInArrow(run, "file binary")
     # the text writer copies a string's bytes as they are, then one line feed
     packed.select(F.concat(F.expr("substring(file, 1, length(file) - 1)")).cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
 
