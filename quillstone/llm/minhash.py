@@ -18,7 +18,9 @@
    in its keys, as the least changed copy of a group has), found links are
    contracted to components, and this is repeated with other centres for the
    keys that still hold several components.  What then remains is compared completely, each
-   pair of classes of different components once.  Nothing is capped.
+   pair of classes of different components once: a key's classes are dealt into
+   blocks of ``BLOCK``, a task holds two blocks at a time, and only pairs within
+   the radius leave it, each from the first key it shares.  Nothing is capped.
 
 At similarity s a component differs with probability 1 - s; with 64 components
 and radius 25 a pair at exactly 0.8 is within the radius with probability
@@ -46,7 +48,8 @@ from quillstone.llm.components import components
 COMPONENTS = 64
 CHUNKS = 13
 RADIUS = 25
-STAR_ROUNDS = 5
+STAR_ROUNDS = 2
+BLOCK = 1_024
 WORD_CACHE = 400_000
 
 _U = np.uint64
@@ -172,7 +175,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _emit_keys(classes: DataFrame) -> DataFrame:
-    schema = pa.schema([("key", pa.int64()), ("cls", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("slot", pa.int32()), ("cls", pa.int64())])
 
     def run(batches):
         for b in batches:
@@ -182,9 +185,9 @@ def _emit_keys(classes: DataFrame) -> DataFrame:
                     cls = part.column(0).to_numpy(zero_copy_only=False)
                     sigs = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(len(cls), -1)
                     keys = signature_keys(sigs)
-                    yield to_batch(schema, key=keys.ravel(), cls=np.repeat(cls, keys.shape[1]))
+                    yield to_batch(schema, key=keys.ravel(), slot=np.tile(np.arange(keys.shape[1], dtype=np.int32), len(cls)), cls=np.repeat(cls, keys.shape[1]))
 
-    return classes.select("cls", "sig").mapInArrow(run, "key long, cls long")
+    return classes.select("cls", "sig").mapInArrow(run, "key long, slot int, cls long")
 
 
 def _within_radius(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -204,6 +207,88 @@ def _within_radius(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def first_keys(same: np.ndarray) -> np.ndarray:
+    """Index of the first key that each pair shares, from its equal components; -1: none."""
+    first = np.full(len(same), -1, np.int64)
+    for k in range(len(_KEYS) - 1, -1, -1):
+        first[same[:, _KEYS[k]].all(axis=1)] = k
+    return first
+
+
+def cell_pairs(cell: np.ndarray, slot: np.ndarray, split: np.ndarray, side: np.ndarray, cls: np.ndarray, comp: np.ndarray, size: np.ndarray, sigs: np.ndarray, percent: int):
+    """Pairs of rows of one cell within the radius that meet first in its key; yields ``(a, b)`` arrays.
+
+    Rows of a cell are adjacent.  Rows of a ``split`` cell meet the other side only.
+    Row i is taken with row i + d for all cells at once, for d = 1, 2, ... until cells end.
+    """
+    i, d, held, waiting = np.arange(len(cell)), 0, [], 0
+
+    def flush():
+        x, y = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        first = first_keys(sigs[x] == sigs[y]) == slot[x]
+        x, y = x[first], y[first]
+        return np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])
+
+    while True:
+        d += 1
+        i = i[i + d < len(cell)]
+        i = i[cell[i] == cell[i + d]]
+        if not len(i):
+            break
+        j = i + d
+        ok = (comp[i] != comp[j]) & (~split[i] | (side[i] != side[j])) & (np.minimum(size[i], size[j]) * 100 >= np.maximum(size[i], size[j]) * percent)
+        x, y = i[ok], j[ok]
+        near = (sigs[x] == sigs[y]).sum(axis=1) >= COMPONENTS - RADIUS
+        if near.any():
+            held.append((x[near], y[near]))
+            waiting += int(near.sum())
+            if waiting >= 8192:
+                yield flush()
+                held, waiting = [], 0
+    if held:
+        yield flush()
+
+
+def _compare_rest(rest: DataFrame, percent: int) -> DataFrame:
+    """Candidates among all classes of a key, in bounded blocks; ``rest`` has key, slot, n, cls, comp, size, sig."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    # a class meets every block of its key: in cell (low block, high block)
+    cells = rest.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = cells.select("key", "slot", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"), (F.col("own") > F.col("o")).cast("int").alias("side"), "cls", "comp", "size", "sig")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        def compare(t: pa.Table):
+            key, slot, lo, hi, side, cls, comp, size = (t.column(i).to_numpy() for i in range(8))
+            sigs = np.frombuffer(b"".join(t.column(8).to_pylist()), "<u2").reshape(t.num_rows, -1)
+            cell = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+            for a, b in cell_pairs(cell, slot, lo != hi, side, cls, comp, size, sigs, percent):
+                yield to_batch(schema, a=a, b=b)
+
+        held: list[pa.RecordBatch] = []  # ends with the cell that the next batch may continue
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3)]
+            if held:
+                old, new = tuple(int(held[-1].column(i)[held[-1].num_rows - 1].as_py()) for i in (0, 2, 3)), tuple(int(c[0]) for c in cols)
+                if old != new:
+                    yield from compare(pa.Table.from_batches(held))
+                    held = []
+            last = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from compare(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    dealt = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "slot", "lo", "hi")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that pass the exact test on whole sets."""
     left = sets.select(F.col("cls").alias("a"), F.col("elements").alias("x"))
@@ -227,35 +312,30 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     scratch.drop(keys)
     # how much company a class has in all its keys: the least changed copy of a group has most
     weight = raw.groupBy("cls").agg(F.sum("n").alias("weight")).join(classes.select("cls", "size"), "cls")
-    active = scratch.save(raw.join(weight, "cls").select("key", "cls", "size", "weight"), "active")
+    active = scratch.save(raw.join(weight, "cls").select("key", "slot", "cls", "size", "weight"), "active")
     scratch.drop(raw)
     wanted = classes.join(active.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("doc_id"))
     found = _sets(docs.join(wanted, "doc_id", "left_semi"), words)
     sets = scratch.save(found.groupBy("cls").agg(F.first("elements").alias("elements")), "sets")
 
-    links = tested = labels = None
+    links = labels = None
     for turn in range(STAR_ROUNDS + 1):
         rows = active.withColumn("comp", F.col("cls"))
         if labels is not None:
             rows = active.join(labels, active.cls == labels.node, "left").select(*active.columns, F.coalesce("component", "cls").alias("comp"))
         # the centre: most company, a little shaken so that each round tries another one
         shake = F.col("weight") * (1 - F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(1000)) / 1000 * F.lit(0.1 * min(turn, 3)))
-        state = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct(shake.alias("h"), "cls", "comp", "size")).alias("mid")).where("lo < hi")
-        state = state.select("key", F.col("mid.cls").alias("c"), F.col("mid.comp").alias("other"), F.col("mid.size").alias("csize"))
+        state = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.max(F.struct(shake.alias("h"), "cls", "comp", "size")).alias("mid")).where("lo < hi")
+        state = state.select("key", "n", F.col("mid.cls").alias("c"), F.col("mid.comp").alias("other"), F.col("mid.size").alias("csize"))
         if turn < STAR_ROUNDS:
             near = F.least(rows["size"], state["csize"]) * 100 >= F.greatest(rows["size"], state["csize"]) * percent
             pairs = rows.join(state, (rows["key"] == state["key"]) & (rows["comp"] != state["other"]) & near).select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b"))
+            pairs = _within_radius(pairs.distinct(), classes)
         else:
-            rest = scratch.save(rows.join(state.select("key"), "key"), "rest")
-            other = rest.select(F.col("key").alias("k"), F.col("cls").alias("c"), F.col("comp").alias("other"), F.col("size").alias("csize"))
-            near = F.least(rest["size"], other["csize"]) * 100 >= F.greatest(rest["size"], other["csize"]) * percent
-            pairs = rest.join(other, (rest["key"] == other["k"]) & (rest["comp"] < other["other"]) & near).select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            rest = rows.select("key", "slot", "cls", "comp", "size").join(state.select("key", "n"), "key").join(classes.select("cls", "sig"), "cls")
+            pairs = _compare_rest(rest, percent)
         pairs = scratch.save(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = scratch.save(_linked(_within_radius(pairs, classes), sets, percent), "links")
+        new = scratch.save(_linked(pairs, sets, percent), "links")
         links = new if links is None else links.unionByName(new)
         if turn < STAR_ROUNDS:
             labels = scratch.save(components(links, scratch), "labels")

@@ -232,3 +232,23 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = corpus_pipeline.run(spark, SF).collect()
     assert len({r.doc_id for r in out}) == len(out) and 0 < len(out) < docs.count()
+
+
+def test_minhash_blocks_find_every_pair_once(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 16, (4, minhash.COMPONENTS))
+    sigs = np.repeat(base, 20, axis=0)
+    for row in sigs:
+        at = rng.choice(minhash.COMPONENTS, rng.integers(0, 20), replace=False)
+        row[at] = rng.integers(0, 1 << 16, len(at))
+    sigs = sigs.astype("<u2")
+    classes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sigs)], "cls long, sig binary")
+    keys = minhash._emit_keys(classes)
+    n = keys.groupBy("key").count().withColumnRenamed("count", "n")
+    rest = keys.join(n, "key").join(classes, "cls").withColumn("comp", keys.cls).withColumn("size", keys.cls * 0 + 9)
+    wanted = sorted((i, j) for i in range(80) for j in range(i + 1, 80) if (sigs[i] != sigs[j]).sum() <= minhash.RADIUS)
+    for block in (5, 1_024):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        assert sorted(map(tuple, minhash._compare_rest(rest, 80).collect())) == wanted
