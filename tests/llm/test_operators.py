@@ -252,3 +252,17 @@ def test_minhash_blocks_find_every_pair_once(spark, monkeypatch):
     for block in (5, 1_024):
         monkeypatch.setattr(minhash, "BLOCK", block)
         assert sorted(map(tuple, minhash._compare_rest(rest, 80).collect())) == wanted
+
+
+def test_neighbour_graph_converges(spark, monkeypatch):
+    """A poor start needs more rounds than four; the graph's own lists must still be near the truth."""
+    monkeypatch.setattr(nndescent, "TREES", 2)
+    monkeypatch.setattr(nndescent, "LEAF", 8)
+    x = np.random.default_rng(8).standard_normal((2_000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = nndescent.build(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    near = np.argsort(-s, axis=1)[:, :10]
+    hit = sum(len(set(near[r.id].tolist()) & set(r.around)) for r in index.graph.collect())
+    assert hit >= 0.97 * near.size, hit / near.size
