@@ -2,9 +2,10 @@
 
 *Trees.*  Each of ``TREES`` trees splits recursively: a random direction, the
 median of the projections as threshold, and a spill band around it, in which a
-vector goes to both sides (``SPILL`` wide, but at most ``OVERLAP`` of the node's
-vectors on either side).  Splitting stops at small nodes, and at nodes that the
-whole band would not thin out (a dense group): such a group stays together in one leaf, whatever its size, so its pairs are never parted.
+vector goes to both sides, however many lie in it.  Splitting stops at small
+nodes, and at nodes that a split does not thin out (a dense group lies wholly in
+the band): such a group stays together in one leaf, whatever its size, so its
+pairs are never parted.  Leaves are wide, since each level multiplies the places.
 Trees are fitted on at most ``SAMPLE`` vectors (the documented bound) and then
 place every vector.
 
@@ -14,8 +15,10 @@ blocks is a task of its own, so a group with a third of all rows is spread over
 the cluster.  Pairs are never written: a task returns, per vector, how many
 links it found, and one edge towards the root of its locally joined group.
 
-*Counting once.*  Each vector carries the list of its leaves; a link is counted
-only in the first leaf that its two vectors share.
+*Counting once.*  Trees are handled one after the other, so that only one tree's
+places are on disk at a time.  Each vector carries the list of its leaves in this
+and the earlier trees; a link is counted only in the first leaf that its two
+vectors share.
 
 *Verify and union.*  Cosines are taken in double precision on the original
 vectors; the roots' edges are joined to components.
@@ -30,6 +33,8 @@ gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -41,12 +46,11 @@ from quillstone.llm.components import components
 
 TREES = 8
 SAMPLE = 20_000
-LEAF = 384
+LEAF = 3_072
 LEAST_SAMPLE = 24
 SPILL = 0.05
-OVERLAP = 0.05
 THINNING = 0.85
-BLOCK = 1_500
+BLOCK = 4_096
 SEED = 4_711
 
 
@@ -57,7 +61,7 @@ class Tree:
         rng = np.random.default_rng(seed)
         self.spill, self.leaves = spill, 0
         self.direction: list[np.ndarray] = []
-        self.band: list[tuple[float, float]] = []
+        self.threshold: list[float] = []
         self.children: list[list[int]] = []
         self.root = self._grow(points, np.arange(len(points)), leaf_size, rng, 0)
 
@@ -72,14 +76,12 @@ class Tree:
         direction /= np.linalg.norm(direction)
         p = points[rows] @ direction
         t = float(np.median(p))
-        if max((p <= t + self.spill).sum(), (p >= t - self.spill).sum()) > THINNING * len(rows):
+        left, right = rows[p <= t + self.spill], rows[p >= t - self.spill]
+        if max(len(left), len(right)) > THINNING * len(rows):
             return self._leaf()
-        low, high = np.quantile(p, (0.5 - OVERLAP, 0.5 + OVERLAP)) if self.spill else (t, t)
-        low, high = max(float(low), t - self.spill), min(float(high), t + self.spill)
-        left, right = rows[p <= high], rows[p >= low]
         me = len(self.children)
         self.direction.append(direction)
-        self.band.append((low, high))
+        self.threshold.append(t)
         self.children.append([0, 0])
         self.children[me][0] = self._grow(points, left, leaf_size, rng, depth + 1)
         self.children[me][1] = self._grow(points, right, leaf_size, rng, depth + 1)
@@ -97,9 +99,9 @@ class Tree:
                 leaf_out.append(np.full(len(rows), -1 - node, np.int64))
                 continue
             p = points[rows] @ self.direction[node]
-            low, high = self.band[node]
-            stack.append((self.children[node][0], rows[p <= high]))
-            stack.append((self.children[node][1], rows[p >= low]))
+            t = self.threshold[node]
+            stack.append((self.children[node][0], rows[p <= t + self.spill]))
+            stack.append((self.children[node][1], rows[p >= t - self.spill]))
         if not rows_out:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate(rows_out), np.concatenate(leaf_out)
@@ -158,10 +160,10 @@ def near_duplicates(table: DataFrame, *, cosine: float = 0.9, id_col: str = "vec
     picked = classes.orderBy(F.xxhash64("vec"), "rep").limit(SAMPLE).select("vec").collect() if total else []
     forest = grow(unit(matrix([bytes(r["vec"]) for r in picked], dim)).astype(np.float32), total) if total else []
 
-    def places(batch_vectors):
-        """Per tree (row, leaf), leaves numbered over the forest."""
+    def places(batch_vectors, trees=len(forest)):
+        """(row, leaf) in the first ``trees`` trees, leaves numbered over the forest."""
         x, base, out = unit(batch_vectors).astype(np.float32), 0, []
-        for t in forest:
+        for t in forest[:trees]:
             row, leaf = t.place(x)
             out.append((row, leaf + base))
             base += t.leaves
@@ -181,19 +183,20 @@ def near_duplicates(table: DataFrame, *, cosine: float = 0.9, id_col: str = "vec
     blocks = {r["leaf"]: -(-r["n"] // BLOCK) for r in sizes}  # leaves are bounded by the sample
     schema = pa.schema([("leaf", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("rep", pa.int64()), ("m", pa.int64()), ("vec", pa.binary()), ("leaves", pa.binary())])
 
-    def deal(batches):
+    def deal(batches, turn):
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 vec, rep, m = part.column(0).to_pylist(), part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
-                row, leaf = places(matrix(vec, dim))
+                row, leaf = places(matrix(vec, dim), turn + 1)
                 order = np.lexsort((leaf, row))
                 row, leaf = row[order], leaf[order]
                 stop = np.searchsorted(row, np.arange(len(vec)), "right").tolist()
                 start = [0, *stop[:-1]]
                 lists = [leaf[a:z].astype("<i4").tobytes() for a, z in zip(start, stop)]
                 out: list[tuple] = []
-                for r, f in zip(row.tolist(), leaf.tolist()):
+                here = leaf >= sum(t.leaves for t in forest[:turn])
+                for r, f in zip(row[here].tolist(), leaf[here].tolist()):
                     nb = blocks.get(f, 1)
                     mine = int(rep[r] * 2654435761 % 4294967296) % nb
                     for other in range(nb):
@@ -205,8 +208,6 @@ def near_duplicates(table: DataFrame, *, cosine: float = 0.9, id_col: str = "vec
                 if out:
                     yield to_batch(schema, **dict(zip(schema.names, zip(*out))))
 
-    dealt = classes.select("vec", "rep", "m").mapInArrow(deal, "leaf long, i int, j int, side int, rep long, m long, vec binary, leaves binary")
-
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         leaf, same = int(pdf["leaf"].iat[0]), pdf["i"].iat[0] == pdf["j"].iat[0]
         x = unit(matrix(pdf["vec"].tolist(), dim))
@@ -243,12 +244,13 @@ def near_duplicates(table: DataFrame, *, cosine: float = 0.9, id_col: str = "vec
                 a, b = a[a < b], b[a < b]
             for lo in range(0, len(a), 8192):
                 p, q = a[lo : lo + 8192], b[lo : lo + 8192]
-                shared = np.full(len(p), np.iinfo(np.int32).max, np.int32)
+                shared, todo = np.full(len(p), -1, np.int32), np.arange(len(p))
                 for c in range(most):  # both lists ascend, so the first match in p's list is the smallest
-                    v = pad[p, c]
-                    hit = (v >= 0) & (pad[q] == v[:, None]).any(axis=1)
-                    np.minimum(shared, np.where(hit, v, shared), out=shared)
-                    if (shared < np.iinfo(np.int32).max).all():
+                    v = pad[p[todo], c]
+                    hit = (v >= 0) & (pad[q[todo]] == v[:, None]).any(axis=1)
+                    shared[todo[hit]] = v[hit]
+                    todo = todo[~hit]
+                    if not len(todo):
                         break
                 first = shared == leaf
                 np.add.at(links, p[first], m[q[first]])
@@ -257,7 +259,11 @@ def near_duplicates(table: DataFrame, *, cosine: float = 0.9, id_col: str = "vec
         seen = np.flatnonzero(links)
         return pd.DataFrame({"rep": rep[seen], "links": links[seen], "root": rep[root[seen]]}, columns=["rep", "links", "root"])
 
-    found = scratch.save(dealt.groupBy("leaf", "i", "j").applyInPandas(compare, "rep long, links long, root long"), "found")
+    kind = "rep long, links long, root long"
+    found = spark.createDataFrame([], kind)
+    for turn in range(len(forest)):
+        dealt = classes.select("vec", "rep", "m").mapInArrow(partial(deal, turn=turn), "leaf long, i int, j int, side int, rep long, m long, vec binary, leaves binary")
+        found = found.unionByName(scratch.save(dealt.groupBy("leaf", "i", "j").applyInPandas(compare, kind), "found"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     per = classes.join(links, "rep", "left").select("vec", "rep", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))

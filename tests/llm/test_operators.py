@@ -266,3 +266,17 @@ def test_neighbour_graph_converges(spark, monkeypatch):
     near = np.argsort(-s, axis=1)[:, :10]
     hit = sum(len(set(near[r.id].tolist()) & set(r.around)) for r in index.graph.collect())
     assert hit >= 0.97 * near.size, hit / near.size
+
+
+def test_forest_finds_all_links_of_a_wide_group(spark):
+    """A third of the vectors at cosine 0.80 to 0.97 from one centre."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((9_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = x[1:3_000] - np.outer(x[1:3_000] @ x[0], x[0])
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.80, 0.97, (2_999, 1))
+    x[1:3_000] = c * x[0] + np.sqrt(1 - c * c) * side
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in forest.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert sum(want) and all(got[i] == n for i, n in enumerate(want)), sum(got.values()) / sum(want)
