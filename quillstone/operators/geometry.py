@@ -94,6 +94,16 @@ def column_cut(words: Column, anchor_x: Column) -> Column:
     return F.aggregate(spans, start.cast(kind), step, lambda acc: acc["cut"])
 
 
+def page_pitch(baselines: Column) -> Column:
+    """Median pitch of a page; null below four lines."""
+    return F.when(F.size(baselines) >= 4, median_pitch(baselines))
+
+
+def scaled(floor: float, pitch: Column) -> Column:
+    """``floor`` points, or as many lines of 14 points at the page's own pitch where that is more."""
+    return F.greatest(F.lit(floor), pitch * (floor / 14.0))
+
+
 REGIONS = {
     "first-page": lambda w, p: p["page"] == 1,
     "last-page": lambda w, p: p["page"] == p["pages"],
@@ -106,7 +116,8 @@ REGIONS = {
     "totals-block": lambda w, p: ((p["page"] == 1) | (p["page"] == p["pages"]))
     & F.when(p["totals_y"].isNotNull(), (w["y0"] >= p["totals_y"] - TOTALS_LEAD) & (w["y0"] <= p["totals_y"] + TOTALS_BAND)).otherwise(w["y0"] >= p["height"] * TOTALS_FROM),
     "same-row": lambda w, p: F.abs(w["y0"] - p["anchor_y"]) <= TOLERANCE,
-    "near-anchor": lambda w, p: (w["x0"] >= p["anchor_x"] - NEAR_LEFT) & (w["x0"] < p["anchor_x"] + NEAR_RIGHT) & (w["y0"] >= p["anchor_y"] - TOLERANCE) & (w["y0"] <= p["anchor_y"] + NEAR_DOWN),
+    "near-anchor": lambda w, p: (w["x0"] >= p["anchor_x"] - NEAR_LEFT) & (w["x0"] < p["anchor_x"] + scaled(NEAR_RIGHT, p["pitch"]))
+    & (w["y0"] >= p["anchor_y"] - p["tolerance"]) & (w["y0"] <= p["anchor_y"] + scaled(NEAR_DOWN, p["pitch"])),
     "line_items": lambda w, p: w["y0"] >= p["anchor_y"] + TOLERANCE + 1,
 }
 

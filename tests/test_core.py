@@ -89,3 +89,12 @@ def test_first_seen_ignores_null_identity(spark):
 
 def test_account_key(spark):
     assert _one(spark, "Acct No. ab-12 3", values.account_key) == "AB123" and _one(spark, " - ", values.account_key) is None
+
+
+def test_near_anchor_grows_with_the_pitch(spark):
+    one = spark.range(1)
+    for ys, near in (([0.0, 28.0, 56.0, 84.0], True), ([0.0, 14.0, 28.0, 42.0], False), ([0.0, 28.0, 56.0], False)):
+        pitch = geometry.page_pitch(F.array(*map(F.lit, ys)))
+        page = {"anchor_x": F.lit(50.0), "anchor_y": F.lit(100.0), "pitch": pitch, "tolerance": F.lit(2.5)}
+        got = one.select(*[geometry.in_region("near-anchor", {"x0": F.lit(x), "y0": F.lit(y)}, page).alias(f"c{i}") for i, (x, y) in enumerate([(500.0, 100.0), (60.0, 170.0), (60.0, 97.2), (60.0, 130.0)])]).first()
+        assert list(got) == [near, near, False, True]
