@@ -11,7 +11,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +39,23 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables of one operator call; :meth:`drop` frees what is no longer read."""
+    """Written tables of one operator call.
+
+    :meth:`drop` and :meth:`release` delete what is no longer read; what a lazy
+    result still reads goes when the session's file systems close.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.held: set[str] = set()
+        path, fs = self._at(self.root)
+        fs.deleteOnExit(path)
+
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, tag: str) -> str:
         self.n += 1
@@ -52,17 +65,24 @@ class Scratch:
         """Write ``df`` once and return a reader of the written table."""
         path = self.path(tag)
         df.write.option("compression", "zstd").parquet(path)
+        self.held.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables made by :meth:`save` that nothing will read again."""
-        jvm = self.spark._jvm
         for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            fs.delete(p, True)
+            path, fs = self._at(t._scratch_path)
+            fs.delete(path, True)
+            self.held.discard(t._scratch_path)
+
+    def release(self, *keep: DataFrame) -> None:
+        """Delete every saved table but those of ``keep``."""
+        for gone in self.held - {t._scratch_path for t in keep}:
+            path, fs = self._at(gone)
+            fs.delete(path, True)
+            self.held.discard(gone)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,26 +90,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batches, columns: list[str], max_bytes: int = 8 << 20, max_rows: int = 4096):
-    """Cut Arrow batches into lists of Python columns of bounded size.
+    """Cut Arrow batches into dicts of column -> list, of bounded size.
 
-    Yields ``(dict of column -> list)``.  ``max_bytes`` bounds what is held as
-    Python objects at a time, whatever the length of single texts.
+    ``max_bytes`` bounds what the variable-length columns of a slice hold; a
+    single value above it has a slice of its own.
     """
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        per_row = max(1, batch.nbytes // n)
-        step = max(1, min(max_rows, max_bytes // per_row))
-        for at in range(0, n, step):
-            part = batch.slice(at, step)
+        sizes = np.full(n, 8 * batch.num_columns, np.int64)
+        for column in batch.columns:
+            if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) or pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            elif pa.types.is_list(column.type):
+                sizes += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < n:
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + max_bytes, "right"))
+            to = min(max(to, at + 1), at + max_rows, n)
+            part = batch.slice(at, to - at)
             yield {c: part.column(part.schema.get_field_index(c)).to_pylist() for c in columns}
+            at = to
 
 
 def to_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    A table in fewer splits than cores is small; a larger one is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shards_for(spark: SparkSession, rows: int, per_task: int) -> int:
     """Number of tasks so that each takes about ``per_task`` rows."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -28,6 +28,18 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
+def labels(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(node, component)`` after one round of both stars.
+
+    Nodes of equal labels are connected; connected nodes may still differ.
+    Enough to skip needless comparisons, at a fraction of :func:`components`.
+    """
+    state = scratch.save(_small(_large(edges.select("a", "b").where("a <> b").distinct())).where("a <> b"), "stars")
+    up = state.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    tops = state.select(F.col("b").alias("node")).distinct().join(up, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return scratch.save(up.unionByName(tops), "labels")
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, component)`` of every node that has an edge ``(a, b)``; others are alone.
 
@@ -45,4 +57,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if done:
             break
     pairs = state.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return pairs.unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = pairs.unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out._scratch_path = state._scratch_path
+    return out

@@ -234,24 +234,31 @@ def test_pipeline_stages(spark):
     assert len({r.doc_id for r in out}) == len(out) and 0 < len(out) < docs.count()
 
 
-def test_minhash_blocks_find_every_pair_once(spark, monkeypatch):
-    import numpy as np
-
+def test_minhash_blocks_join_what_is_linked(spark, monkeypatch):
+    """Spanning links of the blocks against brute force on whole sets, whatever the block size."""
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 16, (4, minhash.COMPONENTS))
-    sigs = np.repeat(base, 20, axis=0)
-    for row in sigs:
-        at = rng.choice(minhash.COMPONENTS, rng.integers(0, 20), replace=False)
-        row[at] = rng.integers(0, 1 << 16, len(at))
-    sigs = sigs.astype("<u2")
+    base = [rng.choice(1 << 40, 100, replace=False) for _ in range(4)]
+    sets = []
+    for i in range(80):
+        own = base[i % 4].copy()
+        own[: rng.integers(0, 25)] = rng.choice(1 << 40, 1) + np.arange(1)
+        sets.append(np.unique(own))
+    sigs = [minhash.signature(s.astype(np.uint64)) for s in sets]
     classes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sigs)], "cls long, sig binary")
     keys = minhash._emit_keys(classes)
-    n = keys.groupBy("key").count().withColumnRenamed("count", "n")
-    rest = keys.join(n, "key").join(classes, "cls").withColumn("comp", keys.cls).withColumn("size", keys.cls * 0 + 9)
-    wanted = sorted((i, j) for i in range(80) for j in range(i + 1, 80) if (sigs[i] != sigs[j]).sum() <= minhash.RADIUS)
-    for block in (5, 1_024):
+    elements = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in enumerate(sets)], "cls long, elements array<long>")
+    size = elements.select("cls", F.size("elements").cast("long").alias("size"))
+    rows = keys.join(size, "cls")
+    n = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("volume"))
+    rest = rows.join(n, "key").join(classes, "cls").withColumn("comp", keys.cls)
+    link = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+    want = _components(list(range(80)), link)
+    for block, volume in ((5, 1 << 21), (1_024, 1_500), (1_024, 1 << 21)):
         monkeypatch.setattr(minhash, "BLOCK", block)
-        assert sorted(map(tuple, minhash._compare_rest(rest, 80).collect())) == wanted
+        monkeypatch.setattr(minhash, "BLOCK_ELEMENTS", volume)
+        got = {tuple(r) for r in minhash._compare_rest(rest, elements, 80).collect()}
+        assert got and all(link(a, b) for a, b in got)
+        assert _components(list(range(80)), lambda a, b: (a, b) in got) == want
 
 
 def test_neighbour_graph_converges(spark, monkeypatch):
