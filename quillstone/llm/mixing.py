@@ -19,16 +19,19 @@ documents, ranges are summed, and only the one range of a leaf where its budget
 ends is ordered row by row.  A source with a third of all rows is therefore
 spread like any other.
 
-Defined results: null or blank text has no tokens and is never selected (it
-can fill no budget); null tree values form a leaf ``null``; null ``doc_id`` is
-ordered like a value; repeated rows are separate documents; absent weights are
-1 for each child, weights of 0 close a branch; an empty table or budget selects
-nothing; further columns are carried along.
+Defined results: tokens are words; null or blank text has none and is never
+selected (it can fill no budget); null tree values form a leaf ``null``; null or
+repeated ``doc_id`` are ordered by their texts, equal rows are separate and
+interchangeable documents; absent weights are 1 for each child, weights of 0
+close a branch; an empty table or budget selects nothing; further columns are
+carried along, whatever their names, save that the added ones replace input
+columns of the same name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,28 +48,30 @@ def token_count(text: Column) -> Column:
 
 
 def divide(budget: int, weights: Sequence[float], capacity: Sequence[int]) -> list[int]:
-    """Shares of ``budget`` by weight, each within its capacity; shortages go to the others."""
+    """Shares of ``budget`` by weight, each within its capacity; shortages go to the others.
+
+    Exact: weights are taken as the fractions that they are, shares are whole
+    numbers, and what rounding leaves goes to the largest remainders.
+    """
     share = [0] * len(weights)
-    open_ = [i for i, w in enumerate(weights) if w > 0 and capacity[i] > 0]
+    part = [Fraction(w) for w in weights]
+    open_ = [i for i, w in enumerate(part) if w > 0 and capacity[i] > 0]
     left = min(budget, sum(capacity[i] for i in open_))
     while open_ and left > 0:
-        total = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / total >= capacity[i]]
+        total = sum(part[i] for i in open_)
+        full = [i for i in open_ if left * part[i] >= capacity[i] * total]
         if not full:
-            exact = {i: left * weights[i] / total for i in open_}
-            floor = {i: min(int(exact[i]), capacity[i]) for i in open_}
-            rest = left - sum(floor.values())
-            for i in sorted(open_, key=lambda i: (floor[i] - exact[i], i)) * 2:  # largest remainders first
-                if rest > 0 and floor[i] < capacity[i]:
-                    floor[i] += 1
-                    rest -= 1
+            exact = {i: left * part[i] / total for i in open_}
             for i in open_:
-                share[i] = floor[i]
+                share[i] = int(exact[i])
+            rest = left - sum(share[i] for i in open_)
+            for i in sorted(open_, key=lambda i: (share[i] - exact[i], i))[:rest]:
+                share[i] += 1
             break
         for i in full:
             share[i] = capacity[i]
-            left -= capacity[i]
-            open_.remove(i)
+        left -= sum(capacity[i] for i in full)
+        open_ = [i for i in open_ if i not in set(full)]
     return share
 
 
@@ -110,44 +115,45 @@ def mix(
 ) -> DataFrame:
     """Selected rows of ``docs`` with ``mix_epoch``, ``mix_tokens`` and the tree's ``mix_<level>`` added.
 
-    ``budget`` is in tokens; without it, ``fraction`` of all tokens.
+    ``budget`` is in tokens (words); without it, ``fraction`` of all tokens.
     """
     spark = docs.sparkSession
-    names = [f"mix_{n}" for n in levels]
-    marked = docs.withColumns({n: e.cast("string") for n, e in zip(names, levels.values())}).withColumn("mix_tokens", token_count(F.col(text_col)))
-    narrow = Scratch(spark, "mix").save(marked.select(F.col(id_col).cast("string").alias("id"), *names, "mix_tokens").where("mix_tokens > 0"), "rows")
-    stats = narrow.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("n")).limit(MAX_LEAVES + 1).collect()
+    levels_out = [f"mix_{n}" for n in levels]
+    added = {n.lower() for n in (*levels_out, "mix_tokens", "mix_epoch")}
+    carried = [c for c in docs.columns if c.lower() not in added]
+    # private names: the row in one struct, its tree path, its token count and a key that orders it
+    path = [f"l{i}" for i in range(len(levels_out))]
+    key = F.xxhash64(F.col(id_col).cast("string"), F.xxhash64(text_col))
+    marked = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row"), *(e.cast("string").alias(n) for n, e in zip(path, levels.values())), token_count(F.col(text_col)).alias("tokens"), key.alias("key")
+    ).where("tokens > 0")
+    narrow = Scratch(spark, "mix").save(marked.drop("row"), "rows")
+    stats = narrow.groupBy(*path).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).limit(MAX_LEAVES + 1).collect()
     if len(stats) > MAX_LEAVES:
         raise ValueError(f"the tree has more than {MAX_LEAVES} leaves")
-    leaves = {tuple(r[n] for n in names): r["tokens"] for r in stats}
-    count = {tuple(r[n] for n in names): r["n"] for r in stats}
-    total = sum(leaves.values()) if budget is None else 0
-    share = budgets(leaves, weights, int(total * fraction) if budget is None else budget, max_epochs)
+    leaves = {tuple(r[n] for n in path): r["tokens"] for r in stats}
+    count = {tuple(r[n] for n in path): r["n"] for r in stats}
+    if budget is None:
+        budget = int(sum(leaves.values()) * Fraction(fraction))
+    share = budgets(leaves, weights, budget, max_epochs)
     plan = [(*p, share[p] // leaves[p], share[p] % leaves[p], -(-count[p] // RANGE_DOCS)) for p in leaves]
-    ddl = ", ".join(f"{n} string" for n in names) + ", full int, rest long, ranges int"
+    ddl = ", ".join(f"{n} string" for n in path) + ", full int, rest long, ranges int"
     plan = F.broadcast(spark.createDataFrame(plan, ddl))  # one row a leaf, MAX_LEAVES at most
 
-    def order(id_: Column) -> Column:
-        return F.xxhash64(F.lit(seed), F.col("full"), id_)
-
-    def range_of(id_: Column) -> Column:
-        # the upper 32 bits as an unsigned number, cut into equal ranges; keeps the order of the hash
-        return F.floor((F.shiftright(order(id_), 32) + F.lit(1 << 31)) * F.col("ranges") / F.lit(1 << 32)).cast("int")
-
-    same = [F.col(f"l.{n}").eqNullSafe(F.col(f"p.{n}")) for n in names]
-    joined = lambda df: df.alias("l").join(plan.alias("p"), same).select("l.*", "full", "rest", "ranges")
-    sums = joined(narrow).where("rest > 0").groupBy(*names, range_of(F.col("id")).alias("range")).agg(F.sum("mix_tokens").alias("s"), F.first("rest").alias("rest"))
-    run = Window.partitionBy(*names).orderBy("range")
-    sums = sums.withColumn("to", F.sum("s").over(run))
-    last = sums.where("to >= rest and to - s < rest").select(*names, F.col("range").alias("last"), (F.col("rest") - F.col("to") + F.col("s")).alias("room"))
-    last = F.broadcast(last)  # one row a leaf
-    rows = joined(marked.where("mix_tokens > 0")).withColumn("range", range_of(F.col(id_col).cast("string")))
-    same2 = [F.col(f"r.{n}").eqNullSafe(F.col(f"e.{n}")) for n in names]
-    rows = rows.alias("r").join(last.alias("e"), same2, "left").select("r.*", "last", "room")
-    keep = [*docs.columns, *names, "mix_tokens"]
-    whole = rows.select(*keep, F.explode(F.sequence(F.lit(0), F.col("full"))).alias("mix_epoch"), "full", "range", "last")
-    whole = whole.where("mix_epoch < full or range < last").select(*keep, "mix_epoch")
-    edge = rows.where("range = last")
-    before = Window.partitionBy(*names).orderBy(order(F.col(id_col).cast("string")), "mix_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("before", F.coalesce(F.sum("mix_tokens").over(before), F.lit(0))).where("before < room").select(*keep, F.col("full").alias("mix_epoch"))
-    return whole.unionByName(edge)
+    order = F.xxhash64(F.lit(seed), F.col("full"), F.col("key"))
+    # the upper 32 bits as an unsigned number, cut into equal ranges; keeps the order of the hash
+    at = F.floor((F.shiftright(order, 32) + F.lit(1 << 31)) * F.col("ranges") / F.lit(1 << 32)).cast("int")
+    leaf = lambda x, y: [F.col(f"{x}.{n}").eqNullSafe(F.col(f"{y}.{n}")) for n in path]
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.alias("a").join(plan.alias("b"), leaf("a", "b")).select("a.*", "full", "rest", at.alias("range"), order.alias("order"))
+
+    sums = placed(narrow).where("rest > 0").groupBy(*path, "range").agg(F.sum("tokens").alias("s"), F.first("rest").alias("rest"))
+    sums = sums.withColumn("to", F.sum("s").over(Window.partitionBy(*path).orderBy("range")))
+    last = sums.where("to >= rest and to - s < rest").select(*path, F.col("range").alias("last"), (F.col("rest") - F.col("to") + F.col("s")).alias("room"))
+    rows = placed(marked).alias("a").join(F.broadcast(last).alias("b"), leaf("a", "b"), "left").select("a.*", "last", "room")  # one row a leaf
+    whole = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full")))).where("epoch < full or range < last")
+    before = Window.partitionBy(*path).orderBy("order", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    edge = rows.where("range = last").withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).where("before < room").withColumn("epoch", F.col("full"))
+    result = [*(F.col("row").getField(c).alias(c) for c in carried), *(F.col(n).alias(m) for n, m in zip(path, levels_out)), F.col("tokens").alias("mix_tokens"), F.col("epoch").alias("mix_epoch")]
+    return whole.select(*result).unionByName(edge.select(*result))

@@ -158,6 +158,40 @@ def test_budgets_go_to_siblings_first():
     assert mixing.divide(10, [1, 1, 1], [100, 100, 100]) == [4, 3, 3]
 
 
+def test_mixture_equals_a_plain_version(spark):
+    """Nulls, repeated rows and ids, ties, and columns with clashing names, against a driver-side selection."""
+    rng = np.random.default_rng(11)
+    rows = [(int(i), " ".join(["w"] * int(rng.integers(1, 9))), rng.choice(["a", "b"]), rng.choice(["x", "y", None])) for i in range(600)]
+    rows += [(None, "n n", "a", "x"), (None, "n n", "a", "x"), (7, "r r r", "b", "y"), (7, "r r r", "b", "y"), (8, None, "a", "x"), (9, "  ", "b", None)]
+    rows = [(i, t, a, b, "c1", 5, "c2", "c3", 2.0, "c4", "c5") for i, t, a, b in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, top string, leaf string, full string, rest int, ranges string, last string, room double, range string, mix_tokens string")
+    levels = {"top": F.col("top"), "leaf": F.col("leaf")}
+    weights = {("a",): 3.0, ("a", "x"): 0.5, ("b", "y"): 0.0}
+    got = mixing.mix(docs, levels, weights, budget=1_000, max_epochs=2)
+    assert got.columns == [c for c in docs.columns if c != "mix_tokens"] + ["mix_top", "mix_leaf", "mix_tokens", "mix_epoch"]
+    out = got.collect()
+    assert {(r.full, r.rest, r.ranges, r["last"], r.room, r["range"]) for r in out} == {("c1", 5, "c2", "c3", 2.0, "c4")}
+    size: dict = {}
+    for r in rows:
+        size.setdefault((r[2], r[3]), []).append(len((r[1] or "").split()))
+    tokens = {k: sum(v) for k, v in size.items()}
+    # by hand: b/y is closed; a has three quarters of the budget but no more than two epochs of its tokens
+    cap_a, cap_b = 2 * sum(n for k, n in tokens.items() if k[0] == "a"), 2 * sum(n for k, n in tokens.items() if k[0] == "b" and k[1] != "y")
+    assert cap_a >= 750 and cap_b >= 250
+    want = mixing.budgets(tokens, weights, 1_000, 2)
+    assert sum(n for k, n in want.items() if k[0] == "a") == 750 and want["b", "y"] == 0
+    for leaf, n in want.items():
+        mine = [r for r in out if (r.mix_top, r.mix_leaf) == leaf]
+        taken = sum(r.mix_tokens for r in mine)
+        assert n <= taken < n + 9 if n else not mine, leaf  # over by less than one document
+        assert sum(r.mix_tokens for r in mine if r.mix_epoch == 0) <= tokens[leaf]
+        whole = n // tokens[leaf]
+        for e in range(whole):
+            assert sum(r.mix_tokens for r in mine if r.mix_epoch == e) == tokens[leaf]
+    again = mixing.mix(docs, levels, weights, budget=1_000, max_epochs=2).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+
+
 def test_mixture_takes_prefixes(spark, empty):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.when(F.col("id") < 1000, "s").otherwise("t").alias("source"))
     got = mixing.mix(docs, {"source": F.col("source")}, {("s",): 3.0}, budget=8000, max_epochs=2)
@@ -211,6 +245,11 @@ def test_revisits(spark):
     df = spark.createDataFrame(rows, "record_id long, record_type string, url string, s long, headers map<string,string>").withColumn("ts", F.timestamp_seconds("s"))
     got = {r.record_id: r for r in warc.resolve_revisits(df).collect()}
     assert {i: r.outcome for i, r in got.items()} == {1: "response", 2: "resolved", 3: "validator_mismatch", 4: "orphan", 5: "unverified", 6: "no_url", 7: "no_time"}
+    assert got[5].refers_to is None and got[5].headers == {}
+    twice = warc.resolve_revisits(df.unionByName(df).withColumn("near", F.lit("clash")).withColumn("slice", F.lit("clash"))).collect()
+    assert sorted((r.record_id, r.outcome) for r in twice) == sorted(2 * [(i, r.outcome) for i, r in got.items()])
+    tied = df.where("record_id in (1, 2)").withColumn("ts", F.timestamp_seconds(F.lit(10)))  # equal times: ordered by record id
+    assert {r.record_id: r.refers_to for r in warc.resolve_revisits(tied).collect()} == {1: 1, 2: 1}
     assert got[2].headers == {"etag": '"1"', "expires": "e", "server": "s"} and got[2].refers_to == 1
     assert warc.resolve_revisits(df.where("false")).count() == 0
 
