@@ -34,7 +34,7 @@ WITH p AS (
   SELECT *, CASE WHEN record_type = 'response' THEN 'response' WHEN base IS NULL THEN 'orphan' WHEN same IS NULL THEN 'unverified'
                  WHEN same THEN 'resolved' ELSE 'validator_mismatch' END AS outcome FROM j
 ), m AS (
-  SELECT *, outcome IN ('resolved', 'unverified') AS ok,
+  SELECT *, outcome = 'resolved' AS ok,
          list_filter(map_entries(h), lambda e: e.key IN ('age', 'cache-control', 'content-location', 'date', 'etag', 'expires', 'last-modified', 'vary')) AS upd FROM o
 )
 SELECT record_id, record_type, canonical_url, ts AS ts_seconds, outcome,

@@ -7,13 +7,14 @@ compared (entity tags weakly, else modification dates); a confirmed revisit
 takes the stored response's headers, overwritten by those that a 304 may update.
 
 The as-of join never holds one URL in one task.  Time is cut at quantiles into
-``SLICES`` slices; within (URL, slice) a window carries the last full response
+slices, ``SLICES`` or as many as the most frequent URL needs for about
+``SLICE_ROWS`` rows each; records without URL or time take no part in it.  Within (URL, slice) a window carries the last full response
 forward, and one row per (URL, slice) carries it across slices.  Bodies do not
 take part: :func:`attach_payload` joins them at the end, by record id.
 
 Outcomes: ``response`` (a full response, unchanged), ``resolved``,
-``unverified`` (no validator in common: resolved, headers merged),
-``validator_mismatch``, ``orphan`` (no earlier full response), ``no_url``,
+``unverified`` (no validator in common, so nothing confirms the pair: not
+referred, own headers kept), ``validator_mismatch``, ``orphan`` (no earlier full response), ``no_url``,
 ``no_time``.  Null headers are empty headers; header names compare without
 case; two records of equal time are ordered by record id; repeated records are
 each resolved; an empty table gives an empty table; further columns are ignored.
@@ -24,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 32
+SLICES, MOST_SLICES = 32, 4_096
+SLICE_ROWS = 100_000
 #: Headers that a 304 response may replace (fixed values, RFC 9110 section 15.4.5 and RFC 9111 section 3.2).
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that do not select content (fixed values).
@@ -65,18 +67,22 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     r = records.select(
         F.col("record_id").cast("long").alias("record_id"), "record_type", canonical_url(F.col("url")).alias("canonical_url"), "ts", _lower_keys(F.col("headers")).alias("headers")
     )
-    cuts = r.where("ts is not null").select(F.unix_micros("ts").alias("t")).approxQuantile("t", [i / SLICES for i in range(1, SLICES)], 0.005)
-    t = F.unix_micros("ts")
-    at = sum(((t >= int(c)).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    full = (F.col("record_type") == "response") & F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
-    r = r.withColumn("slice", F.coalesce(at, F.lit(-1))).withColumn("own", F.when(full, F.struct("record_id", "headers")))
+    dated = r.where("ts is not null and canonical_url is not null")
+    most = dated.groupBy("canonical_url").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    n = min(MOST_SLICES, max(SLICES, -(-most // SLICE_ROWS)))
+    cuts = dated.select(F.unix_micros("ts").alias("t")).approxQuantile("t", [i / n for i in range(1, n)], 0.1 / n)
+    cuts = F.lit([int(c) for c in sorted(set(cuts))]).cast("array<long>")
+    at = F.aggregate(cuts, F.lit(0), lambda k, c: k + (F.unix_micros("ts") >= c).cast("int"))
+    aside = r.where("ts is null or canonical_url is null").withColumn("base", F.lit(None).cast("struct<record_id:bigint,headers:map<string,string>>"))
+    full = F.col("record_type") == "response"
+    r = dated.withColumn("slice", at).withColumn("own", F.when(full, F.struct("record_id", "headers")))
     near = Window.partitionBy("canonical_url", "slice").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("near", F.last("own", ignorenulls=True).over(near))
     ends = r.where("own is not null").groupBy("canonical_url", "slice").agg(F.max(F.struct("ts", "record_id")).alias("at"), F.max_by("own", F.struct("ts", "record_id")).alias("end"))
-    grid = r.where("canonical_url is not null").select("canonical_url", "slice").distinct().join(ends, ["canonical_url", "slice"], "left")
+    grid = r.select("canonical_url", "slice").distinct().join(ends, ["canonical_url", "slice"], "left")
     far = Window.partitionBy("canonical_url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     grid = grid.select("canonical_url", "slice", F.last("end", ignorenulls=True).over(far).alias("far"))
-    j = r.join(grid, ["canonical_url", "slice"], "left").withColumn("base", F.coalesce("near", "far"))
+    j = r.join(grid, ["canonical_url", "slice"], "left").withColumn("base", F.coalesce("near", "far")).select(*aside.columns).unionByName(aside)
     mine, theirs = F.col("headers"), F.col("base.headers")
     day = F.lit("last-modified")
     by_tag = _tag(mine) == _tag(theirs)
@@ -94,7 +100,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     update = F.map_filter(mine, lambda k, v: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter(theirs, lambda k, v: ~F.map_contains_key(update, k)), update)
     j = j.withColumn("outcome", outcome)
-    ok = F.col("outcome").isin("resolved", "unverified")
+    ok = F.col("outcome") == "resolved"
     return j.select(
         "record_id", "record_type", "canonical_url", "ts", "outcome",
         F.when(F.col("outcome") == "response", F.col("record_id")).when(ok, F.col("base.record_id")).alias("refers_to"),
