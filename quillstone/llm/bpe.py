@@ -21,28 +21,32 @@ Defined results
 * other columns of the input are ignored, whatever their names.
 
 Scale: one narrow pass, no shuffle.  A worker keeps one automaton (about
-30 MB) and a piece cache that is emptied at ``CACHE_PIECES`` entries, so memory
-does not depend on the corpus; texts are handled in slices of bounded bytes.
+30 MB); a task keeps at most ``CACHE_PIECES`` pieces of at most ``LONG_PIECE``
+characters (about 45 MB) and ``CACHE_PAIRS`` pairs, and drops the pieces when it
+ends, so memory does not depend on the corpus; texts are handled in slices of
+bounded bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillstone.llm.common import slices, to_batch
+from quillstone.llm.common import slices, spread, to_batch
 
 #: Pre-token pattern of byte-level BPE (fixed value, published with the vocabulary);
 #: {L}, {N} and {Z} stand for letters, digits and white space.
 BYTE_LEVEL_PATTERN = r" ?[{L}]+| ?[{N}]+|'(?:[stmd]|re|ve|ll)| ?[^{Z}{L}{N}]+|[{Z}]+(?![^{Z}])|[{Z}]+"
 #: Texts below this code point are cut with explicit character ranges, which is faster.
 PLAIN_BELOW = 0x558
-CACHE_PIECES = 800_000
+CACHE_PIECES = 200_000
+CACHE_PAIRS = 500_000
 LONG_PIECE = 64
 
 
@@ -204,7 +208,7 @@ class BacktrackingEncoder:
                         ok = known.get(k)
                         if ok is None:
                             ok = known[k] = self._compatible(last, token)
-                            if len(known) > 2_000_000:
+                            if len(known) > CACHE_PAIRS // 4:
                                 known.clear()
                     if ok:
                         out.append(token)
@@ -250,7 +254,7 @@ class BatchEncoder(BacktrackingEncoder):
         if missing.any():
             new = np.unique(keys[missing])
             ok = np.fromiter((self._compatible(k >> 20, k & 0xFFFFF) for k in new.tolist()), bool, len(new))
-            if len(self.pair_keys) > 2_000_000:
+            if len(self.pair_keys) > CACHE_PAIRS:
                 self.pair_keys, self.pair_ok = self.pair_keys[:0], self.pair_ok[:0]
                 return self._compatible_many(keys)
             both = np.concatenate([self.pair_keys, new])
@@ -420,24 +424,31 @@ class ByteTokenizer:
 _LOADED: dict[str, ByteTokenizer] = {}
 
 
-def tokenizer(path: str) -> ByteTokenizer:
-    """One tokenizer for each Python worker and file."""
+@contextmanager
+def tokenizer(path: str):
+    """The one tokenizer of a Python worker and file; its piece cache ends with the block."""
     if path not in _LOADED:
         _LOADED[path] = ByteTokenizer(path)
-    return _LOADED[path]
+    try:
+        yield _LOADED[path]
+    finally:
+        _LOADED[path].pieces.clear()
 
 
 def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, ids)`` of each row; ``ids`` is an array of int."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    """``(doc_id, n_tokens, ids, decoded_sha256)`` of each row.
+
+    ``ids`` is an array of int; the digest is that of the text decoded from them.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
 
     def run(batches):
-        t = tokenizer(path)
-        for s in slices(batches, [id_col, text_col]):
-            ids = t.encode_many(s[text_col])
-            yield to_batch(schema, doc_id=s[id_col], n_tokens=[len(x) for x in ids], ids=ids)
+        with tokenizer(path) as t:
+            for s in slices(batches, [id_col, text_col]):
+                ids = t.encode_many(s[text_col])
+                yield to_batch(schema, doc_id=s[id_col], n_tokens=[len(x) for x in ids], ids=ids, decoded_sha256=[text_digest(t, x) for x in ids])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -445,13 +456,17 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
-        t = tokenizer(path)
-        for s in slices(batches, ["doc_id", "ids"]):
-            yield to_batch(schema, doc_id=s["doc_id"], text=[t.decode(np.array(x or [], np.int64)) for x in s["ids"]])
+        with tokenizer(path) as t:
+            for s in slices(batches, ["doc_id", "ids"]):
+                yield to_batch(schema, doc_id=s["doc_id"], text=[t.decode(np.array(x or [], np.int64)) for x in s["ids"]])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def text_digest(t: ByteTokenizer, ids: np.ndarray) -> str:
+    return hashlib.sha256(t.decode(ids).encode("utf-8")).hexdigest()
+
+
 def decimal_table(size: int) -> np.ndarray:
     """Row ``i``: the decimal of ``i`` and a comma, padded with zero bytes to eight."""
     return np.frombuffer(b"".join(b"%d," % i + bytes(7 - len(str(i))) for i in range(size)), "<u8")
@@ -471,13 +486,13 @@ def round_trip_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", te
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
-        t = tokenizer(path)
-        for s in slices(batches, [id_col, text_col]):
-            n, a, b = [], [], []
-            for ids in t.encode_many(s[text_col]):
-                n.append(len(ids))
-                a.append(ids_digest(ids, t.decimals))
-                b.append(hashlib.sha256(t.decode(ids).encode("utf-8")).hexdigest())
-            yield to_batch(schema, doc_id=s[id_col], n_tokens=n, ids_sha256=a, decoded_sha256=b)
-
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        with tokenizer(path) as t:
+            for s in slices(batches, [id_col, text_col]):
+                n, a, b = [], [], []
+                for ids in t.encode_many(s[text_col]):
+                    n.append(len(ids))
+                    a.append(ids_digest(ids, t.decimals))
+                    b.append(text_digest(t, ids))
+                yield to_batch(schema, doc_id=s[id_col], n_tokens=n, ids_sha256=a, decoded_sha256=b)
+
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
