@@ -15,12 +15,16 @@ A block subtracts its minimum, packs the differences with the width that holds
 so one stray id does not widen a block.  The block index lets a reader decode
 any id range alone (:func:`read_range`).
 
-Writing: encode on the way in (one narrow pass), save, range-partition by
-``doc_id``, sort, pack; Spark's own writer commits the files, so a lost
-executor or a repeated task never leaves half a file.  Files hold at most
-``FILE_IDS`` ids; a longer document has a file of its own.  Start offsets are
-prefix sums in two levels, files within groups of files, so no task sees more
-than a group.
+Writing: a sample of ids and lengths cuts ``doc_id`` into ranges of about equal
+bytes; one narrow pass encodes each text and names its range; the ids, not the
+texts, are shuffled to the ranges, sorted and packed.  Nothing but the files is
+written.  Spark's own writer commits them, so a lost executor or a repeated
+task never leaves half a file; its text format copies a value's bytes as they
+are and adds one line feed, which is the file's last byte (the cast from binary
+to string does not check or change bytes; a test writes every byte value).
+Files hold at most ``FILE_IDS`` ids; a longer document has a file of its own.
+Start offsets are prefix sums in two levels, files within groups of files, so
+no task sees more than a group.
 
 Defined results: null text is the empty text (its ids are the end id alone);
 null ``doc_id`` sorts first and is kept; repeated rows are each written, in the
@@ -39,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.bpe import PLAIN_BELOW, _ranges
-from quillstone.llm.common import Scratch, slices, to_batch
+from quillstone.llm.common import Scratch, slices, spread, to_batch
 
 MAGIC = b"QPF1"
 BLOCK = 1024
@@ -47,7 +51,9 @@ PERCENTILE = 90
 FILE_IDS = 4 << 20
 HEAD = np.dtype([("magic", "S4"), ("part", "<u4"), ("seq", "<u4"), ("docs", "<u4"), ("ids", "<u8"), ("block", "<u4")])
 BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("n", "<u2"), ("odd", "<u2")])
-CACHE_PIECES = 600_000
+CACHE_PIECES, CACHED_LENGTH = 600_000, 64
+SAMPLE_PER_TASK = 200
+MOST_TASKS = 100_000
 
 
 # ---------------------------------------------------------------- blocks
@@ -135,6 +141,17 @@ class TokenFile:
 # ---------------------------------------------------------------- encoding with the library
 
 
+class _Words(dict):
+    """Word -> ids as little-endian u4 bytes; long words are encoded anew each time."""
+
+    def __init__(self, lib):
+        super().__init__()
+        self.lib = lib
+
+    def __missing__(self, word: str) -> bytes:
+        return np.array(self.lib.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 class WordTokenizer:
     """The tokenizers library behind a bounded cache of words.
 
@@ -142,7 +159,8 @@ class WordTokenizer:
     its own, so a word's ids do not depend on its neighbours.  New words of a
     slice are encoded by the library in one call, joined by spaces, and cut at
     word-end tokens.  Texts with characters outside the plain range, or with a
-    special token's string, go to the library whole.
+    special token's string, go to the library whole.  At most CACHE_PIECES words
+    of at most CACHED_LENGTH characters are kept (about 100 MB).
     """
 
     WORDS = r"[{L}]+|'(?:[stmd]|re|ve|ll)|[{N}]|[^{Z}{L}{N}]+"
@@ -166,13 +184,13 @@ class WordTokenizer:
         # combining marks, what folds to them, and special tokens: left to the library
         self.outside = re.compile("[İ̀-\U0010ffff]|<\\|").search
         assert PLAIN_BELOW >= 0x300
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Words(self.lib)
 
     def _learn(self, words: set[str]) -> None:
-        new = list(words.difference(self.cache))
+        new = [w for w in words.difference(self.cache) if len(w) <= CACHED_LENGTH]
         if len(self.cache) + len(new) > CACHE_PIECES:
             self.cache.clear()
-            new = list(words)
+            new = [w for w in words if len(w) <= CACHED_LENGTH]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             ids = np.array(self.lib.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -206,13 +224,32 @@ def _words(path: str) -> WordTokenizer:
 # ---------------------------------------------------------------- Spark
 
 
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """``(doc_id, n, ids)``: ids with the end id, as the library gives them.
+def ranges_of(docs: DataFrame, bytes_per_task: int, seed: int = 5) -> np.ndarray:
+    """Upper bounds (exclusive) of ``doc_id`` ranges of about equal bytes, from a sample; one range has none.
 
-    They are bytes of u2 where every id of the vocabulary fits, else of u4
-    (:func:`unpacked`), so that what is saved and shuffled is no wider than needed.
+    The sample (``SAMPLE_PER_TASK`` rows a task, never above ``MOST_TASKS`` times that) only balances tasks.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+    size = docs.select(F.col("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("size"))
+    total = docs.count()
+    share = min(1.0, 20 * SAMPLE_PER_TASK / max(total, 1))
+    mean = size.sample(share, seed).agg(F.avg("size")).first()[0] or 16.0
+    tasks = int(min(MOST_TASKS, max(1, -(-total * mean // bytes_per_task))))
+    if tasks == 1:
+        return np.empty(0, np.int64)
+    got = size.sample(min(1.0, SAMPLE_PER_TASK * tasks / total), seed).where("doc_id is not null").toPandas().sort_values("doc_id")
+    ids, to = got["doc_id"].to_numpy(np.int64), got["size"].to_numpy(np.float64).cumsum()
+    if not len(ids):
+        return np.empty(0, np.int64)
+    return np.unique(ids[np.searchsorted(to, to[-1] * np.arange(1, tasks) / tasks)])
+
+
+def encode(docs: DataFrame, tokenizer_path: str, bounds: np.ndarray, end_id: int = 1) -> DataFrame:
+    """``(part, doc_id, n, ids)``: the range, and ids with the end id, as the library gives them.
+
+    Ids are bytes of u2 where every id of the vocabulary fits, else of u4
+    (:func:`unpacked`), so that what is shuffled is no wider than needed.
+    """
+    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -220,9 +257,10 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
         width = "<u2" if max(w.largest, end_id) < 1 << 16 else "<u4"
         for s in slices(batches, ["doc_id", "text"]):
             ids = [np.frombuffer(x + tail, "<u4") for x in w.encode_many(s["text"])]
-            yield to_batch(schema, doc_id=s["doc_id"], n=[len(x) for x in ids], ids=[x.astype(width).tobytes() for x in ids])
+            part = [0 if d is None else int(np.searchsorted(bounds, d, "right")) for d in s["doc_id"]]
+            yield to_batch(schema, part=part, doc_id=s["doc_id"], n=[len(x) for x in ids], ids=[x.astype(width).tobytes() for x in ids])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "part int, doc_id long, n long, ids binary")
 
 
 def unpacked(raw: bytes, n: int) -> np.ndarray:
@@ -230,29 +268,31 @@ def unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
 
 
-def write_files(encoded: DataFrame, folder: str, files: int) -> None:
-    """Pack ``(doc_id, n, ids)`` into token files under ``folder``, ascending by doc_id."""
+def as_text(files: DataFrame) -> DataFrame:
+    """The bytes of ``file`` less the last, a line feed, as a value that Spark's text writer copies."""
+    return files.select(F.expr("substring(file, 1, length(file) - 1)").cast("string").alias("value"))
+
+
+def write_files(encoded: DataFrame, folder: str, parts: int) -> None:
+    """Pack ``(part, doc_id, n, ids)`` into token files under ``folder``, ascending by doc_id."""
     schema = pa.schema([("file", pa.binary())])
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part, seq, held, keys, rows = TaskContext.get().partitionId(), 0, 0, [], []
-        for s in slices(batches, ["doc_id", "n", "ids"]):
-            for d, n, raw in zip(s["doc_id"], s["n"], s["ids"]):
-                ids = unpacked(raw, n)
-                if rows and held + len(ids) > FILE_IDS:
-                    yield to_batch(schema, file=[pack_file(part, seq, keys, rows)])
+        now, seq, held, keys, rows = None, 0, 0, [], []
+        for s in slices(batches, ["part", "doc_id", "n", "ids"]):
+            for p, d, n, raw in zip(s["part"], s["doc_id"], s["n"], s["ids"]):
+                if rows and (p != now or held + n > FILE_IDS):
+                    yield to_batch(schema, file=[pack_file(now, seq, keys, rows)])
                     seq, held, keys, rows = seq + 1, 0, [], []
+                now = p
                 keys.append(d)
-                rows.append(ids)
-                held += len(ids)
+                rows.append(unpacked(raw, n))
+                held += n
         if rows:
-            yield to_batch(schema, file=[pack_file(part, seq, keys, rows)])
+            yield to_batch(schema, file=[pack_file(now, seq, keys, rows)])
 
-    packed = encoded.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids").select("doc_id", "n", "ids").mapInArrow(run, "file binary")
-    # the text writer copies a string's bytes as they are, then one line feed
-    packed.select(F.concat(F.expr("substring(file, 1, length(file) - 1)")).cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    dealt = encoded.repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
+    as_text(dealt.select("part", "doc_id", "n", "ids").mapInArrow(run, "file binary")).write.option("maxRecordsPerFile", 1).text(folder)
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -289,16 +329,13 @@ def with_starts(rows: DataFrame) -> DataFrame:
     return rows.join(files, ["part", "seq"]).withColumn("start", F.col("base") + F.col("file_start"))
 
 
-def token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, ids_per_task: int = 4 << 20) -> tuple[str, DataFrame]:
+def token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, bytes_per_task: int = 16 << 20) -> tuple[str, DataFrame]:
     """Write token files of ``docs``; returns their folder and a reader of them."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "pfor")
-    encoded = scratch.save(encode(docs, tokenizer_path, end_id), "ids")
-    total = encoded.agg(F.sum("n")).first()[0] or 0
-    folder = scratch.path("files")
-    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ids_per_task))
-    write_files(encoded, folder, files)
-    scratch.drop(encoded)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    folder = Scratch(spark, "pfor").path("files")
+    bounds = ranges_of(docs, bytes_per_task)
+    write_files(encode(spread(docs), tokenizer_path, bounds, end_id), folder, len(bounds) + 1)
     return folder, read_files(spark, folder)
 
 
