@@ -23,9 +23,10 @@ vectors share.
 *Verify and union.*  Cosines are taken in double precision on the original
 vectors; the roots' edges are joined to components.
 
-Defined results: vectors that are null, zero, of a length other than the most
-frequent one, or with null or non-finite components link with nothing and are
-their own component; equal vectors form a class of one representative, and
+Defined results: vectors that are null, zero, or with null or non-finite
+components link with nothing and are their own component; only vectors of equal
+length have a cosine, so each length has a forest of its own; components are
+scaled by the largest before squaring, so none overflows or vanishes; equal vectors form a class of one representative, and
 each of its rows counts the others; rows that share a ``vec_id`` are separate
 rows of one node; null ``vec_id`` takes no part and is kept; an empty table
 gives an empty table; other columns are ignored.
@@ -115,11 +116,12 @@ def grow(points: np.ndarray, total: int, *, trees: int = TREES, leaf: int = LEAF
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def clean_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``(vec_id, vec)``: usable vectors as f8 bytes of equal length; others have null ``vec``."""
+    """``(vec_id, vec)``: usable vectors as f8 bytes; others have null ``vec``."""
     schema = pa.schema([("vec_id", pa.int64()), ("vec", pa.binary())])
 
     def run(batches):
@@ -137,13 +139,11 @@ def clean_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     return table.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")).mapInArrow(run, "vec_id long, vec binary")
 
 
-def usable(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
-    """Saved vectors, those of the most frequent length with an id, and that length."""
-    vectors = scratch.save(vectors, "vectors")
-    widths = vectors.where("vec is not null and vec_id is not null").groupBy(F.length("vec").alias("w")).agg(F.count("*").alias("n"))
-    top = widths.orderBy(F.desc("n"), "w").first()
-    width = top["w"] if top else 0
-    return vectors, vectors.where((F.length("vec") == width) & F.col("vec_id").isNotNull()), width // 8
+def by_length(vectors: DataFrame) -> list[tuple[int, DataFrame]]:
+    """``(dimension, rows)`` for each length of usable vectors with an id."""
+    good = vectors.where("vec is not null and vec_id is not null")
+    found = good.select(F.length("vec").alias("w")).distinct().orderBy("w").collect()
+    return [(r["w"] // 8, good.where(F.length("vec") == r["w"])) for r in found]
 
 
 def matrix(column: pa.Array | list, dim: int) -> np.ndarray:
@@ -154,10 +154,39 @@ def near_duplicates(table: DataFrame, *, cosine: float = 0.9, id_col: str = "vec
     """``(vec_id, n_links, component_id, kept)`` of every row; see the module text."""
     spark = table.sparkSession
     scratch = Scratch(spark, "forest")
-    everything, good, dim = usable(clean_vectors(table, id_col, vec_col), scratch)
-    classes = scratch.save(good.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "classes")
+    everything = scratch.save(clean_vectors(table, id_col, vec_col), "vectors")
+    parts = [_links(good, dim, cosine, scratch) for dim, good in by_length(everything)]
+    classes, found = spark.createDataFrame([], CLASSES), spark.createDataFrame([], FOUND)
+    for c, f in parts:
+        classes, found = classes.unionByName(c), found.unionByName(f)
+    # a node is a vec_id: classes that share one are joined, whatever their vectors
+    held = everything.where("vec is not null and vec_id is not null").select("vec_id", F.xxhash64("vec").alias("cls")).distinct()
+    shared = held.groupBy("vec_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("vec_id", "a")
+    shared = held.join(shared, "vec_id").where("cls <> a").select("a", F.col("cls").alias("b"))
+    comp = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")).unionByName(shared), scratch)
+    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    per = classes.join(links, "cls", "left").join(comp, F.col("cls") == comp.node, "left")
+    per = per.select("vec", "least", F.coalesce("component", "cls").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    per = scratch.save(per, "classes")
+    named = per.join(per.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("vec", "n_links", "component_id")
+    rows = everything.join(named, "vec", "left")
+    # a usable vector without an id takes no part, though it may equal a usable one
+    n = F.when(F.col("vec_id").isNotNull(), F.col("n_links"))
+    cid = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
+    scratch.release(everything, per)
+    return rows.select("vec_id", F.coalesce(n, F.lit(0)).alias("n_links"), cid.alias("component_id"), F.coalesce(cid == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+CLASSES = "vec binary, cls long, least long, m long"
+FOUND = "cls long, links long, root long"
+
+
+def _links(good: DataFrame, dim: int, cosine: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Classes ``(vec, cls, least, m)`` of equal vectors of one length, and what the leaves found between them."""
+    spark = good.sparkSession
+    classes = scratch.save(good.groupBy("vec").agg(F.xxhash64("vec").alias("cls"), F.min("vec_id").alias("least"), F.count("*").alias("m")), "classes")
     total = classes.count()
-    picked = classes.orderBy(F.xxhash64("vec"), "rep").limit(SAMPLE).select("vec").collect() if total else []
+    picked = classes.orderBy("cls", "vec").limit(SAMPLE).select("vec").collect() if total else []
     forest = grow(unit(matrix([bytes(r["vec"]) for r in picked], dim)).astype(np.float32), total) if total else []
 
     def places(batch_vectors, trees=len(forest)):
@@ -181,13 +210,13 @@ def near_duplicates(table: DataFrame, *, cosine: float = 0.9, id_col: str = "vec
 
     sizes = classes.select("vec").mapInArrow(leaf_sizes, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).collect()
     blocks = {r["leaf"]: -(-r["n"] // BLOCK) for r in sizes}  # leaves are bounded by the sample
-    schema = pa.schema([("leaf", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("rep", pa.int64()), ("m", pa.int64()), ("vec", pa.binary()), ("leaves", pa.binary())])
+    schema = pa.schema([("leaf", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("cls", pa.int64()), ("m", pa.int64()), ("vec", pa.binary()), ("leaves", pa.binary())])
 
     def deal(batches, turn):
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                vec, rep, m = part.column(0).to_pylist(), part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
+                vec, cls, m = part.column(0).to_pylist(), part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
                 row, leaf = places(matrix(vec, dim), turn + 1)
                 order = np.lexsort((leaf, row))
                 row, leaf = row[order], leaf[order]
@@ -198,10 +227,10 @@ def near_duplicates(table: DataFrame, *, cosine: float = 0.9, id_col: str = "vec
                 here = leaf >= sum(t.leaves for t in forest[:turn])
                 for r, f in zip(row[here].tolist(), leaf[here].tolist()):
                     nb = blocks.get(f, 1)
-                    mine = int(rep[r] * 2654435761 % 4294967296) % nb
+                    mine = int(cls[r]) % nb
                     for other in range(nb):
                         i, j = min(mine, other), max(mine, other)
-                        out.append((f, i, j, 0 if mine == i else 1, int(rep[r]), int(m[r]), vec[r], lists[r]))
+                        out.append((f, i, j, 0 if mine == i else 1, int(cls[r]), int(m[r]), vec[r], lists[r]))
                     if len(out) >= 4096:
                         yield to_batch(schema, **dict(zip(schema.names, zip(*out))))
                         out = []
@@ -218,7 +247,7 @@ def near_duplicates(table: DataFrame, *, cosine: float = 0.9, id_col: str = "vec
             pad[k, : len(v)] = v
         left = np.arange(len(pdf)) if same else np.flatnonzero(pdf["side"].to_numpy() == 0)
         right = left if same else np.flatnonzero(pdf["side"].to_numpy() == 1)
-        m, rep = pdf["m"].to_numpy(), pdf["rep"].to_numpy()
+        m, cls = pdf["m"].to_numpy(), pdf["cls"].to_numpy()
         links = np.zeros(len(pdf), np.int64)
         root = np.arange(len(pdf))
 
@@ -257,18 +286,10 @@ def near_duplicates(table: DataFrame, *, cosine: float = 0.9, id_col: str = "vec
                 np.add.at(links, q[first], m[p[first]])
                 join(p[first], q[first])
         seen = np.flatnonzero(links)
-        return pd.DataFrame({"rep": rep[seen], "links": links[seen], "root": rep[root[seen]]}, columns=["rep", "links", "root"])
+        return pd.DataFrame({"cls": cls[seen], "links": links[seen], "root": cls[root[seen]]}, columns=["cls", "links", "root"])
 
-    kind = "rep long, links long, root long"
-    found = spark.createDataFrame([], kind)
+    found = spark.createDataFrame([], FOUND)
     for turn in range(len(forest)):
-        dealt = classes.select("vec", "rep", "m").mapInArrow(partial(deal, turn=turn), "leaf long, i int, j int, side int, rep long, m long, vec binary, leaves binary")
-        found = found.unionByName(scratch.save(dealt.groupBy("leaf", "i", "j").applyInPandas(compare, kind), "found"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
-    per = classes.join(links, "rep", "left").select("vec", "rep", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    rows = everything.join(per, "vec", "left").join(comp, F.col("rep") == comp.node, "left")
-    # a usable vector without an id takes no part, though it may equal a usable one
-    n = F.when(F.col("vec_id").isNotNull(), F.col("n_links"))
-    cid = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "rep", "vec_id"))
-    return rows.select("vec_id", F.coalesce(n, F.lit(0)).alias("n_links"), cid.alias("component_id"), F.coalesce(cid == F.col("vec_id"), F.lit(True)).alias("kept"))
+        dealt = classes.select("vec", "cls", "m").mapInArrow(partial(deal, turn=turn), "leaf long, i int, j int, side int, cls long, m long, vec binary, leaves binary")
+        found = found.unionByName(scratch.save(dealt.groupBy("leaf", "i", "j").applyInPandas(compare, FOUND), "found"))
+    return classes, found
