@@ -8,6 +8,9 @@ out; all others train.
 Texts are coded once, in chunks: a chunk's distinct words are shuffled, not its
 tokens, and come back with their corpus counts.
 
+*Events.*  As in the base score, a token is one of the V known words or the one
+unknown word, so that both scores are probabilities over the same V + 1 events.
+
 *Symbols.*  The ``LEXICON`` most frequent words have emissions of their own.
 All other known words are tied: a class (count band, word ending) has an
 emission for each state, and within its class a word has the share
@@ -16,14 +19,19 @@ probability is the share of words that occur once (Good-Turing).  Every word
 keeps its exact count; tying only bounds the parameter table.
 
 *Training.*  States start as clusters of documents (k-means of word-ending
-profiles of at most ``SEED_DOCS`` documents), then ``ITERATIONS`` Baum-Welch
-passes run over all training tokens: scaled forward-backward in each task on
-segments of ``SEGMENT`` tokens, expected counts summed per symbol by Spark with
-map-side combining; the M-step sees (symbols x states) numbers.
+profiles of at most ``SEED_DOCS`` documents), then Baum-Welch passes run over
+all training tokens until the log10 probability per token gains less than
+``GAIN``: scaled forward-backward in each task, expected counts summed per
+symbol by Spark with map-side combining; the M-step sees (symbols x states)
+numbers.  A document's messages run through it whole: it is cut into segments of
+``SEGMENT`` tokens only to work on many at a time, each segment's transfer
+matrix (the product of its steps) carries alpha forward and beta back across
+the cuts, and transitions over a cut are counted.
 
 *Scoring.*  The scaled forward recursion runs over each whole document; the sum
 of the logs of its scale factors, plus the tied words' shares, is the exact
-log10 probability of the text with its end token.
+log10 probability of the text with its end token.  ``unigram_score`` is that of
+the same symbols with one state: the difference is what the states add.
 
 Defined results: null text is the empty text (one token, the end); null
 ``doc_id`` counts as not held out; repeated rows are counted and scored each;
@@ -39,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Scratch, slices, to_batch
+from quillstone.llm.common import Scratch, slices, spread, to_batch
 
 STATES = 8
 LEXICON = 20_000
@@ -48,37 +56,36 @@ BANDS = (3, 31)  # upper counts of the first bands
 CLASSES = (len(BANDS) + 1) * ENDINGS
 UNKNOWN = LEXICON + CLASSES
 SYMBOLS = UNKNOWN + 1
-ITERATIONS = 2
+GAIN = 0.01
 SEGMENT = 256
 SEED_DOCS = 4_000
 SMOOTH = 50.0
 STAY = 0.9
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000
 CHUNK_BYTES = 16 << 20
 
 
-class _Words(dict):
-    """Word bytes -> 64-bit hash whose low 8 bits are the word's ending."""
+class Words(dict):
+    """Word bytes -> 64-bit hash whose low 8 bits are the word's ending; at most WORD_CACHE words of at most 64 bytes."""
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh32_intdigest, xxh64_intdigest
 
-        if len(self) >= WORD_CACHE:
-            self.clear()
         h = xxh64_intdigest(word) & 0x7FFFFFFFFFFFFF00 | xxh32_intdigest(word.rstrip(b".,;:!?")[-3:]) & 0xFF
         if len(word) <= 64:
+            if len(self) >= WORD_CACHE:
+                self.clear()
             self[word] = h
         return h
 
 
-_WORDS = _Words()
-END = _Words()[b"\n"]  # no word holds a line feed
+END = Words()[b"\n"]  # no word holds a line feed
 
 
-def token_hashes(text: str | None) -> np.ndarray:
+def token_hashes(text: str | None, cache: Words) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()
     out = np.empty(len(words) + 1, np.int64)
-    out[:-1] = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
+    out[:-1] = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
     out[-1] = END
     return out
 
@@ -96,17 +103,18 @@ def _chunks(docs: DataFrame) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
+        cache = Words()  # ends with the task
         base, seq = TaskContext.get().partitionId() << 32, 0
         for s in slices(batches, ["doc_id", "text"], max_bytes=CHUNK_BYTES, max_rows=1 << 15):
             held = [d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d in s["doc_id"]]
-            toks = [token_hashes(t) for t in s["text"]]
+            toks = [token_hashes(t, cache) for t in s["text"]]
             n = [len(t) for t in toks]
             words, where = np.unique(np.concatenate(toks), return_inverse=True)
             counts = np.bincount(where[~np.repeat(held, n)], minlength=len(words))
             yield to_batch(_CHUNK, chunk=[base + seq], doc_id=[s["doc_id"]], held_out=[held], n=[n], toks=[where.astype("<u4").tobytes()], words=[words.astype("<i8").tobytes()], counts=[counts.astype("<i4").tobytes()])
             seq += 1
 
-    return docs.select("doc_id", "text").mapInArrow(run, "chunk long, doc_id array<long>, held_out array<boolean>, n array<long>, toks binary, words binary, counts binary")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "chunk long, doc_id array<long>, held_out array<boolean>, n array<long>, toks binary, words binary, counts binary")
 
 
 def _occurrences(chunks: DataFrame) -> DataFrame:
@@ -176,8 +184,10 @@ class Lexicon:
 
 
 def _coded(chunks: DataFrame, counts: DataFrame, lex: Lexicon) -> DataFrame:
-    per = counts.groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("got"))  # a chunk's distinct words
-    joined = chunks.select("chunk", "doc_id", "held_out", "n", "toks", "words").join(per, "chunk")
+    # a chunk is some tens of MB: two to a task, however many there are
+    tasks = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // 2))
+    per = counts.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("got"))  # a chunk's distinct words
+    joined = chunks.select("chunk", "doc_id", "held_out", "n", "toks", "words").repartition(tasks, "chunk").join(per, "chunk")
 
     def run(batches):
         for b in batches:
@@ -244,46 +254,95 @@ def log10_probability(model: Model, syms: np.ndarray, n: np.ndarray) -> np.ndarr
     return back
 
 
+def transfers(model: Model, syms: np.ndarray, n: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Scaled transfer matrix of each segment: the product of its steps, the first without a move where fresh."""
+    S = len(model.start)
+    move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
+    edge = np.concatenate([[0], np.cumsum(n)[:-1]])
+    out = np.empty((len(n), S, S), np.float32)
+    order_all = np.argsort(-n, kind="stable")
+    for lo in range(0, len(n), 512):
+        some = order_all[lo : lo + 512]
+        size, first = n[some], edge[some]
+        reach = np.searchsorted(-size, -np.arange(int(size[0])), "left")
+        p = np.where(fresh[some, None, None], np.eye(S, dtype=np.float32), move) * emit[syms[first]][:, None, :]
+        for t, k in enumerate(reach.tolist()):
+            if t:
+                live = (p[:k].reshape(-1, S) @ move).reshape(k, S, S) * emit[syms[first[:k] + t]][:, None, :]
+                p[:k] = live
+            if t % 4 == 3:
+                p[:k] /= np.maximum(p[:k].sum(axis=(1, 2), keepdims=True), 1e-30)
+        out[some] = p / np.maximum(p.sum(axis=(1, 2), keepdims=True), 1e-30)
+    return out
+
+
+def messages(model: Model, matrix: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment the state distribution before it (``start`` where fresh) and the backward message after it.
+
+    Segments of a document follow one another; all documents advance together, a segment at a time.
+    """
+    m, S = len(fresh), len(model.start)
+    begin = np.flatnonzero(fresh)
+    count = np.diff(np.append(begin, m))
+    before, after = np.empty((m, S)), np.ones((m, S))
+    before[begin] = model.start
+    for j in range(1, int(count.max()) if len(count) else 0):
+        at = begin[count > j] + j
+        v = np.einsum("ks,kst->kt", before[at - 1], matrix[at - 1].astype(np.float64))
+        before[at] = v / v.sum(axis=1, keepdims=True)
+    for j in range(int(count.max()) - 2 if len(count) else -1, -1, -1):
+        at = begin[count > j + 1] + j
+        v = np.einsum("kst,kt->ks", matrix[at + 1].astype(np.float64), after[at + 1])
+        after[at] = v / v.sum(axis=1, keepdims=True)
+    return before, after
+
+
 def expected_counts(model: Model, syms: np.ndarray, n: np.ndarray, fresh: np.ndarray):
-    """Expected (start, move, emit) counts of segments; ``fresh``: they begin a document."""
+    """Expected (start, move, emit) counts and the log10 probability of whole documents, given as segments."""
     S = len(model.start)
-    start, move, emit = np.zeros(S), np.zeros((S, S)), np.zeros((S, SYMBOLS))
+    start, move, emit, total = np.zeros(S), np.zeros((S, S)), np.zeros((S, SYMBOLS)), 0.0
     edge = np.concatenate([[0], np.cumsum(n)[:-1]])
+    before, after = (x.astype(np.float32) for x in messages(model, transfers(model, syms, n, fresh), fresh))
     emission, transition = model.emit.astype(np.float32), model.move.astype(np.float32)
-    level = (model.start @ np.linalg.matrix_power(model.move, 64)).astype(np.float32)
     order_all = np.argsort(-n, kind="stable")
     for lo in range(0, len(n), 1024):
         some = order_all[lo : lo + 1024]
         size, first = n[some], edge[some]
         reach = np.searchsorted(-size, -np.arange(int(size[0])), "left")
-        begin = np.where(fresh[some, None], model.start.astype(np.float32), level)
+        inner = ~fresh[some]
+        entry = np.where(inner[:, None], before[some] @ transition, before[some])
         es, alphas, scales, symbols = [], [], [], []
         for t, k in enumerate(reach.tolist()):
             s = syms[first[:k] + t]
             e = emission[s]
-            a = (begin[:k] if t == 0 else alphas[-1][:k] @ transition) * e
+            a = (entry[:k] if t == 0 else alphas[-1][:k] @ transition) * e
             c = np.maximum(a.sum(axis=1, keepdims=True), 1e-30)
+            total += float(np.log10(c).sum(dtype=np.float64))
             alphas.append(a / c)
             es.append(e)
             scales.append(c)
             symbols.append(s)
-        beta = np.ones((reach[-1], S), np.float32)
+        beta = np.empty((0, S), np.float32)
         gammas = [None] * len(es)
         for t in range(len(es) - 1, -1, -1):
             k = reach[t]
-            if len(beta) < k:
-                beta = np.concatenate([beta, np.ones((k - len(beta), S), np.float32)])
+            if len(beta) < k:  # segments that end here: alpha and beta sum to 1 together
+                ends = slice(len(beta), k)
+                last = after[some][ends]
+                beta = np.concatenate([beta, last / np.maximum((alphas[t][ends] * last).sum(axis=1, keepdims=True), 1e-30)])
             g = alphas[t] * beta
             gammas[t] = g / np.maximum(g.sum(axis=1, keepdims=True), 1e-30)
+            x = es[t] * beta / scales[t]
             if t:
-                x = es[t] * beta / scales[t]
                 move += (alphas[t - 1][:k].T @ x) * transition
                 beta = x @ transition.T
+            else:  # the move into a segment from the one before it
+                move += (before[some][inner].T @ x[inner]) * transition
         start += gammas[0][fresh[some]].sum(axis=0)
         flat, g = np.concatenate(symbols), np.concatenate(gammas)
         for s in range(S):
             emit[s] += np.bincount(flat, g[:, s], SYMBOLS)
-    return start, move, emit.T
+    return start, move, emit.T, total
 
 
 def segments(syms: np.ndarray, n: np.ndarray, use: np.ndarray):
@@ -302,11 +361,11 @@ def segments(syms: np.ndarray, n: np.ndarray, use: np.ndarray):
 _COUNTS = "sym int, " + ", ".join(f"s{i} double" for i in range(STATES))
 
 
-def _count_rows(start, move, emit):
-    """Rows of counts: symbols, then start at -1, then moves from state i at -2 - i."""
+def _count_rows(start, move, emit, total: float = 0.0):
+    """Rows of counts: symbols, then start at -1, moves from state i at -2 - i, and the log probability."""
     live = np.flatnonzero(emit.any(axis=1))
-    sym = np.concatenate([live, [-1], -2 - np.arange(STATES)]).astype(np.int32)
-    val = np.concatenate([emit[live], start[None, :], move])
+    sym = np.concatenate([live, [-1], -2 - np.arange(STATES + 1)]).astype(np.int32)
+    val = np.concatenate([emit[live], start[None, :], move, np.full((1, STATES), total / STATES)])
     return pa.RecordBatch.from_arrays([pa.array(sym), *(pa.array(val[:, i]) for i in range(STATES))], names=["sym", *(f"s{i}" for i in range(STATES))])
 
 
@@ -316,7 +375,7 @@ def _arrays(b: pa.RecordBatch, r: int):
     return n, held, np.frombuffer(b.column(2)[r].as_py(), "<u2").astype(np.int64)
 
 
-def _gather(coded: DataFrame, run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _gather(coded: DataFrame, run) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Counts of all tasks, summed by Spark: at most (symbols + states) rows come back."""
     rows = coded.select("n", "held_out", "syms").mapInArrow(run, _COUNTS)
     got = rows.groupBy("sym").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(STATES))).toPandas()
@@ -324,8 +383,9 @@ def _gather(coded: DataFrame, run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES))
     emit[sym[sym >= 0]] = val[sym >= 0]
     start += val[sym == -1].sum(axis=0)
-    move[-2 - sym[sym <= -2]] = val[sym <= -2]
-    return start, move, emit
+    moves = (sym <= -2) & (sym > -2 - STATES)
+    move[-2 - sym[moves]] = val[moves]
+    return start, move, emit, float(val[sym == -2 - STATES].sum())
 
 
 def _profile(endings: np.ndarray, syms: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -370,8 +430,8 @@ def _seed_states(coded: DataFrame, endings: np.ndarray, docs: int) -> np.ndarray
     return c
 
 
-def train_and_score(docs: DataFrame, *, iterations: int = ITERATIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row."""
+def train_and_score(docs: DataFrame, *, gain: float = GAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, unigram_score)`` of every row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "hmm")
     chunks = scratch.save(_chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "chunks")
@@ -403,32 +463,43 @@ def train_and_score(docs: DataFrame, *, iterations: int = ITERATIONS, id_col: st
                     emit += np.bincount(syms[use] * STATES + to[use], minlength=SYMBOLS * STATES).reshape(SYMBOLS, STATES)
             yield _count_rows(start, np.zeros((STATES, STATES)), emit)
 
-        _, _, emit = _gather(coded, hard)
+        _, _, emit, _ = _gather(coded, hard)
         size = emit.sum(axis=0) + 1
         move = STAY * np.eye(STATES) + (1 - STAY) * size / size.sum()
         model = Model.from_counts(size, move * size.sum(), emit, unigram)
-        for _ in range(iterations):
+        last = -np.inf
+        while True:  # the likelihood of training text never falls
 
             def pass_(batches, model=model):
-                start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES))
+                start, move, emit, total = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES)), 0.0
                 for b in batches:
                     for r in range(b.num_rows):
                         n, held, syms = _arrays(b, r)
                         if (~held).any():
-                            for total, part in zip((start, move, emit), expected_counts(model, *segments(syms, n, ~held))):
-                                total += part
-                yield _count_rows(start, move, emit)
-
-            model = Model.from_counts(*_gather(coded, pass_), unigram)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+                            *counts, more = expected_counts(model, *segments(syms, n, ~held))
+                            total += more
+                            for whole, part in zip((start, move, emit), counts):
+                                whole += part
+                yield _count_rows(start, move, emit, total)
+
+            *counts, now = _gather(coded, pass_)
+            model = Model.from_counts(*counts, unigram)
+            now /= lex.total
+            if now - last < gain:
+                break
+            last = now
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("unigram_score", pa.float64())])
+    alone = np.log10(np.maximum(unigram, 1e-300))
 
     def score(batches):
         for b in batches:
             for r in range(b.num_rows):
                 n, held, syms = _arrays(b, r)
-                p = log10_probability(model, syms, n) + b.column(6)[r].values.to_numpy()
-                yield to_batch(schema, doc_id=b.column(3)[r].as_py(), held_out=held, n_tokens=n, n_known=b.column(4)[r].values, train_tokens=np.full(len(n), lex.total), base_score=b.column(5)[r].values, score=p)
+                tied = b.column(6)[r].values.to_numpy()
+                p = log10_probability(model, syms, n) + tied
+                one = np.add.reduceat(alone[syms], np.concatenate([[0], np.cumsum(n)[:-1]])) + tied
+                yield to_batch(schema, doc_id=b.column(3)[r].as_py(), held_out=held, n_tokens=n, n_known=b.column(4)[r].values, train_tokens=np.full(len(n), lex.total), base_score=b.column(5)[r].values, score=p, unigram_score=one)
 
     return coded.select("n", "held_out", "syms", "doc_id", "known", "base", "tied").mapInArrow(
-        score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, unigram_score double"
     )
