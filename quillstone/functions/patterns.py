@@ -13,42 +13,56 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ISO_CODES = ("USD", "CAD", "EUR", "GBP")
-MONEY = r"^([(]?)[ ]*(-?)[ ]*[$€£]?[ ]*(-?)[ ]*([0-9]{1,3}(?:,[0-9]{3})+|[0-9]*)([.][0-9]{1,4})[ ]*([)]?)(?:/[A-Za-z]+)?(?:[ ]*(?:USD|CAD|EUR|GBP))?[ ]*([Cc][Rr])?$"
-INTEGER = r"^-?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)$"
+#: Notations (fixed values).
+ISO_CODES, SYMBOLS = ("USD", "CAD", "EUR", "GBP"), "$€£"
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+DIGITS = "([0-9]{1,3}(,[0-9]{3})+|[0-9]*)[.][0-9]{1,4}"
+INTEGER = r"^(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)$"
 DECIMAL = r"^-?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]*)[.][0-9]+$"
 ACCOUNT = r"^[A-Za-z0-9][A-Za-z0-9 -]*[A-Za-z0-9]$"
-PHONE = r"^(?:1[-. ]?)?(?:[(][2-9][0-9]{2}[)][ ]?|[2-9][0-9]{2}[-. ]?)[2-9][0-9]{2}[-. ]?[0-9]{4}$"
+PHONE = r"^(?:1[-. ])?(?:[(][0-9]{3}[)]|[0-9]{3})[-. ]?[0-9]{3}[-. ]?[0-9]{4}$"
 POSTAL_US = r"^[0-9]{5}(?:-[0-9]{4})?$"
-POSTAL_CA = r"^([A-Za-z][0-9][A-Za-z])[ -]?([0-9][A-Za-z][0-9])$"
+POSTAL_CA = r"^([A-Za-z][0-9][A-Za-z])[ ]*([0-9][A-Za-z][0-9])$"
 TAX_ID = r"^[0-9]{9}[A-Za-z]{2}[0-9]{4}$"
 SLASH_DATE = r"^[0-9]{1,2}/[0-9]{1,2}/(?:[0-9]{2}|[0-9]{4})$"
-LONG_DATE = r"^[A-Za-z]{3,9}\.? [0-9]{1,2}, [0-9]{4}$"
+LONG_DATE = r"^([A-Za-z]{3,9}) +([0-9]{1,2}),? +([0-9]{4})$"
+
+
+def _amount(c: Column) -> tuple[Column, Column, Column]:
+    """``(digits, negative, valid)`` of a money notation, taken off from both ends.
+
+    From the right: a credit mark, a currency code, a unit of a rate, a closing
+    parenthesis; from the left: an opening one, a sign, a symbol, a sign.  What
+    is left must be digits with a decimal part.
+    """
+    off = lambda t, mark: F.trim(F.regexp_replace(t, mark, ""))
+    whole = F.trim(c)
+    closing = off(off(off(whole, "(cr|CR)$"), "(" + "|".join(ISO_CODES) + ")$"), "/[A-Za-z]{1,4}$")
+    opening = off(closing, "[)]$")
+    signed = off(opening, "^[(]")
+    marked = off(off(signed, "^-"), f"^[{SYMBOLS}]")
+    rest = off(marked, "^-")
+    negative = whole.rlike("(cr|CR)$") | signed.startswith("-") | marked.startswith("-") | (opening.startswith("(") & closing.endswith(")"))
+    return F.regexp_replace(rest, ",", ""), negative, rest.rlike(f"^{DIGITS}$")
 
 
 def is_money(c: Column) -> Column:
     """Whether the trimmed text is a money notation; the decimal part is mandatory."""
-    return F.trim(c).rlike(MONEY)
+    return c.contains(".") & _amount(c)[2]
 
 
 def currency(c: Column) -> Column:
     """Exact amount; negative by a sign, a trailing ``cr``, or both parentheses."""
-    t = F.trim(c)
-    part = lambda i: F.regexp_extract(t, MONEY, i)
-    digits = F.concat(F.regexp_replace(part(4), ",", ""), part(5))
-    value = F.when(t.rlike(MONEY), digits).cast("string").try_cast("decimal(38,4)")
-    negative = (part(2) != "") | (part(3) != "") | (part(7) != "") | ((part(1) != "") & (part(6) != ""))
+    digits, negative, valid = _amount(c)
+    value = F.when(c.contains(".") & valid, digits).try_cast("decimal(38,4)")
     return F.when(negative, -value).otherwise(value)
 
 
 def money_text(c: Column) -> Column:
     """The amount with its printed scale kept, as text."""
-    t = F.trim(c)
-    part = lambda i: F.regexp_extract(t, MONEY, i)
-    whole = F.regexp_replace(part(4), ",", "")
-    body = F.concat(F.when(whole == "", "0").otherwise(whole), part(5))
-    negative = (part(2) != "") | (part(3) != "") | (part(7) != "") | ((part(1) != "") & (part(6) != ""))
-    return F.when(t.rlike(MONEY), F.concat(F.when(negative, "-").otherwise(""), body))
+    digits, negative, valid = _amount(c)
+    whole = F.when(digits.startswith("."), F.concat(F.lit("0"), digits)).otherwise(digits)
+    return F.when(c.contains(".") & valid, F.concat(F.when(negative, "-").otherwise(""), whole))
 
 
 def currency_signed(c: Column) -> Column:
@@ -70,13 +84,16 @@ def decimal(c: Column) -> Column:
 
 
 def date(c: Column) -> Column:
-    """ISO text of ``M/D/YY``, ``M/D/YYYY`` or ``Month D, YYYY``; impossible dates miss."""
+    """ISO text of ``M/D/YY``, ``M/D/YYYY`` or ``Month D[,] YYYY``, month whole or short; impossible dates miss."""
     t = F.trim(c)
     last = F.regexp_extract(t, "[0-9]+$", 0)
     full = F.when(F.length(last) == 2, F.concat(F.regexp_replace(t, "[0-9]+$", ""), F.lit("20"), last)).otherwise(t)
     slash = F.try_to_date(F.when(t.rlike(SLASH_DATE), full), "M/d/yyyy")
-    month = F.when(t.rlike(LONG_DATE), F.concat(F.substring(t, 1, 3), F.regexp_replace(t, r"^[A-Za-z]+\.?", "")))
-    return F.date_format(F.coalesce(slash, F.try_to_date(F.initcap(month), "MMM d, yyyy")), "yyyy-MM-dd")
+    numbers = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS) for k in dict.fromkeys((m[:3], m, *(("Sept",) if m[:3] == "Sep" else ()))) for x in (k.lower(), str(i + 1))))
+    part = lambda i: F.regexp_extract(t, LONG_DATE, i)
+    named = F.concat_ws("-", part(3), F.try_element_at(numbers, F.lower(part(1))), part(2))
+    long = F.when(t.rlike(LONG_DATE) & F.try_element_at(numbers, F.lower(part(1))).isNotNull(), F.try_to_date(named, "yyyy-M-d"))
+    return F.date_format(F.coalesce(slash, long), "yyyy-MM-dd")
 
 
 def date_result(c: Column) -> Column:
@@ -134,20 +151,66 @@ class PatternError(ValueError):
     """A pattern outside the restricted language."""
 
 
+def _symbols(pattern: str):
+    """``(kind, text)`` of a pattern: escape, class, open, close, repeat or char."""
+    at = 0
+    while at < len(pattern):
+        c, end = pattern[at], at + 1
+        if c == "\\":
+            kind, end = "escape", at + 2
+        elif c == "[":
+            kind, end = "class", at + 1 + pattern.startswith("^", at + 1)
+            end += pattern.startswith("]", end)  # a bracket in first place is a member
+            while end < len(pattern) and pattern[end] != "]":
+                end += 2 if pattern[end] == "\\" else 1
+            end += 1
+        elif c == "(":
+            kind = "open"
+            if pattern.startswith("(?", at):
+                end = at + 2
+                while end < len(pattern) and pattern[end] not in ":=!>)":
+                    end += 1
+                end += 1
+        elif c == "{" and "}" in pattern[at:]:
+            kind, end = "repeat", pattern.index("}", at) + 1
+        else:
+            kind = {")": "close", "*": "repeat", "+": "repeat", "?": "repeat"}.get(c, "char")
+        yield kind, pattern[at:end]
+        at = end
+
+
 def compile_restricted(pattern: str) -> str:
     """Check a custom pattern: at most 200 characters and one group, nothing unbounded or backtracking-prone."""
-    if len(pattern) > 200:
-        raise PatternError("a pattern has at most 200 characters")
-    bare = re.sub(r"\\.|\[(?:\\.|[^\]])*\]", "x", pattern)
-    if re.search(r"\\[1-9]|\(\?P=", pattern):
-        raise PatternError("no back-references")
-    if re.search(r"\(\?<[=!]|\(\?>|[*+?}]\+", bare):
-        raise PatternError("no look-behind, atomic or possessive parts")
-    if re.search(r"[*+]|\{\d*,\}", bare):
-        raise PatternError("no unbounded repetition")
-    if re.search(r"\)[?{]", bare) and re.search(r"\([^()]*[?}][^()]*\)[{]", bare):
-        raise PatternError("no nested repetition")
-    if re.compile(pattern).groups > 1:
+    if not pattern or len(pattern) > 200:
+        raise PatternError("a pattern has 1 to 200 characters")
+    inside = [False]  # for each open group: does its body repeat anything
+    before, body_repeats = "", False  # the symbol before, and of a group just closed whether it repeats within
+    for kind, text in _symbols(pattern):
+        if kind == "escape" and text[1:].isdigit() and text != "\\0":
+            raise PatternError("no back-references")
+        if kind == "open":
+            if text.startswith("(?P="):
+                raise PatternError("no back-references")
+            if text.startswith(("(?<=", "(?<!", "(?>")):
+                raise PatternError("no look-behind or atomic groups")
+            inside.append(False)
+        elif kind == "close" and len(inside) > 1:
+            body_repeats = inside.pop()
+            inside[-1] |= body_repeats
+        elif kind == "repeat":
+            if before == "repeat" and text == "+":
+                raise PatternError("no possessive repetition")
+            if text in "*+" or text.endswith(",}"):
+                raise PatternError("no unbounded repetition")
+            if before == "close" and body_repeats and text != "?":
+                raise PatternError("no nested repetition")
+            inside[-1] = True
+        before = kind
+    try:
+        groups = re.compile(pattern).groups
+    except re.error as e:
+        raise PatternError(f"not a pattern: {e}") from e
+    if groups > 1:
         raise PatternError("at most one group")
     return pattern
 

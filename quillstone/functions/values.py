@@ -81,7 +81,7 @@ def normalize_name(c: Column) -> Column:
 
 def account_key(c: Column) -> Column:
     """Canonical identifier: label prefix dropped, only letters and digits, upper case; empty is null."""
-    bare = F.regexp_replace(F.trim(c), r"^(?i:account|acct|contract|circuit)(?:\s+(?i:number|no|id))?\s*[.:#]*\s*", "")
+    bare = F.regexp_replace(F.trim(c), r"^(?i:circuit|ckt|account|acct|contract|quote)(?:\s+(?i:number|no|id)\b)?\s*[.:#]*\s*", "")
     key = F.upper(F.regexp_replace(bare, "[^A-Za-z0-9]", ""))
     return F.when(key != "", key)
 

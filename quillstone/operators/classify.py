@@ -13,7 +13,6 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.patterns import MONEY
 from quillstone.functions.values import normalize_name
 
 
@@ -94,24 +93,40 @@ def all_matches_negative(scope: Column, pattern: str) -> Column:
 
 
 def money_table_present(lines: Column, least: int = 3) -> Column:
-    """A line with at least ``least`` money words."""
-    return F.exists(lines, lambda x: F.size(F.filter(_words(x), lambda w: w.rlike(MONEY))) >= least)
+    """A line with at least ``least`` words of digits and commas with two decimals."""
+    return F.exists(lines, lambda x: F.size(F.filter(_words(x), lambda w: w.rlike("^[0-9,]+[.][0-9]{2}$"))) >= least)
 
 
 def text_source_is(source: Column, kind: str) -> Column:
     return source == kind
 
 
-ODD_WORD = r"^.{1,2}$|^[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]+$|[^A-Za-z0-9.,:;!?'\"()$%&/#@*+=-]"
+#: Characters of printed words beside letters, digits and the underscore (fixed value).
+PRINTED = "-.,/$#&()'"
+
+
+def odd_word(w: Column) -> Column:
+    """At most two characters, letters without a vowel of the basic alphabet, or a character that print rarely has."""
+    return (F.length(w) <= 2) | (w.rlike(r"^\p{L}+$") & ~w.rlike("[aeiouAEIOU]")) | w.rlike(rf"[^\p{{L}}\p{{N}}_{PRINTED[1:]}-]")
 
 
 def noise_ratio(text: Column) -> Column:
-    """Share of tokens that are at most two characters, letters without vowels, or hold odd characters."""
+    """Share of odd words."""
     tokens = F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    odd = F.size(F.filter(tokens, lambda w: w.rlike(ODD_WORD)))
+    odd = F.size(F.filter(tokens, odd_word))
     return F.when(F.size(tokens) > 0, odd / F.size(tokens)).otherwise(F.lit(0.0))
 
 
+def noise_ratio_above(pages: DataFrame, threshold: float, role: str = "supporting", ocr_only: bool = True) -> DataFrame:
+    """``(document_id, noisy)``: a page of the role reads as handwriting; ``pages`` has text, role and text_source.
+
+    ``supporting`` takes every page that is not primary.
+    """
+    wanted = F.col("role") != "primary" if role == "supporting" else F.col("role") == role
+    seen = (F.col("text_source") == "ocr") if ocr_only else F.lit(True)
+    return pages.groupBy("document_id").agg(F.coalesce(F.bool_or(seen & wanted & (noise_ratio(F.col("text")) >= threshold)), F.lit(False)).alias("noisy"))
+
+
 def distinct_aliases(scope: Column, aliases: Sequence[str]) -> Column:
     """How many alias keys, as written, the scope contains."""
     return reduce(lambda a, b: a + b, [scope.contains(a).cast("int") for a in aliases], F.lit(0))
@@ -126,7 +141,8 @@ def middle_tokens_nonzero(tokens: Column) -> Column:
 
 
 def second_to_last_token_nonzero(tokens: Column) -> Column:
-    return F.coalesce(F.try_element_at(tokens, F.lit(-2)) != 0, F.lit(False))
+    """The token before the last, or the only one, is not zero."""
+    return F.coalesce(F.try_element_at(tokens, F.greatest(F.size(tokens) - 1, F.lit(1))) != 0, F.lit(False))
 
 
 def money_after_label_nonzero(scope: Column, label: str) -> Column:
@@ -199,11 +215,16 @@ def page_roles(pages: DataFrame) -> DataFrame:
 def shared_footer(pages: DataFrame) -> DataFrame:
     """``(document_id, footer_ok)``: every page prints ``N of M``, M is the page count, the N are 1 to M, at least two pages.
 
-    ``pages`` has the document's text lines joined by line feeds in ``text``.
+    ``pages`` has the document's text lines joined by line feeds in ``text``.  The
+    first such pair of a line counts, in any case, and of a page's lines the first
+    whose M is the page count.
     """
-    n = F.regexp_extract("text", r"(?i)\b([0-9]{1,4}) of ([0-9]{1,4})\b", 1).try_cast("int")
-    m = F.regexp_extract("text", r"(?i)\b([0-9]{1,4}) of ([0-9]{1,4})\b", 2).try_cast("int")
-    per = pages.select("document_id", n.alias("n"), m.alias("m"))
-    g = per.groupBy("document_id").agg(F.count("*").alias("k"), F.count("n").alias("seen"), F.count_distinct("n").alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("m").alias("mlo"), F.max("m").alias("mhi"))
-    ok = (F.col("k") >= 2) & (F.col("seen") == F.col("k")) & (F.col("d") == F.col("k")) & (F.col("lo") == 1) & (F.col("hi") == F.col("k")) & (F.col("mlo") == F.col("k")) & (F.col("mhi") == F.col("k"))
+    form = r"\b([0-9]+)\s+OF\s+([0-9]+)\b"
+    pair = lambda x: F.struct(F.regexp_extract(F.upper(x), form, 1).try_cast("int").alias("n"), F.regexp_extract(F.upper(x), form, 2).try_cast("int").alias("m"))
+    per = pages.select("document_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), pair).alias("pairs"))
+    # pages of a document are few; the pairs that can count have M equal to their number
+    per = per.withColumn("k", F.count("*").over(Window.partitionBy("document_id")))
+    n = F.try_element_at(F.filter("pairs", lambda e: e.m == F.col("k")), F.lit(1))["n"]
+    g = per.withColumn("n", n).groupBy("document_id").agg(F.max("k").alias("k"), F.count("n").alias("seen"), F.count_distinct("n").alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    ok = (F.col("k") >= 2) & (F.col("seen") == F.col("k")) & (F.col("d") == F.col("k")) & (F.col("lo") == 1) & (F.col("hi") == F.col("k"))
     return g.select("document_id", F.coalesce(ok, F.lit(False)).alias("footer_ok"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ def apply_modifiers(quality: Column, modifiers: Column) -> Column:
 
 def apply_boosts(value: Column, n: Column) -> Column:
     """Times ``1.03`` for each boost, at most ``1.10``, clamped."""
-    steps = F.array(*(F.lit(f"{1.03 ** i:.10f}").cast(WIDE) for i in range(4)))
-    factor = F.least(F.element_at(steps, F.least(n, F.lit(3)).cast("int") + 1), F.lit(BOOST_CAP).cast(WIDE))
+    steps = F.array(*(F.lit(str(Decimal(BOOST) ** i)).cast(WIDE) for i in range(5)))  # the fourth is above the cap
+    factor = F.least(F.element_at(steps, F.least(n, F.lit(4)).cast("int") + 1), F.lit(BOOST_CAP).cast(WIDE))
     return F.least((value.cast(WIDE) * factor).cast(WIDE), F.lit(CEILING).cast(WIDE))
 
 

@@ -1 +1 @@
-"""Document-intelligence operators."""
+"""Driver-side plans: personas parsed from JSON and checked before anything runs."""

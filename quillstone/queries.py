@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import patterns, values
-from quillstone.operators import analytics, classify, derive, geometry, score
+from quillstone.operators import analytics, classify, derive, executor, geometry, record, score
 from quillstone.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,12 +68,31 @@ def text_lines(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-MONEY_SQL = patterns.MONEY.replace("'", "''")
+def _money_rest(t: str) -> str:
+    """What is left of a money notation without its marks, in SQL: written from the notation, not from the parser's code."""
+    right = rf"regexp_replace(trim({t}), '\)? *(/[A-Za-z]{{1,4}})? *(USD|CAD|EUR|GBP)? *(cr|CR)?$', '')"
+    return rf"regexp_replace(trim({right}), '^\(? *-? *[$€£]? *-? *', '')"
+
+
+def _is_money_sql(t: str) -> str:
+    return f"regexp_full_match(trim({_money_rest(t)}), '([0-9]{{1,3}}(,[0-9]{{3}})+|[0-9]*)[.][0-9]{{1,4}}')"
+
+
+def _negative_sql(t: str) -> str:
+    return rf"(regexp_matches(trim({t}), '^\(? *-|^\(? *[$€£] *-|(cr|CR)$') OR (starts_with(trim({t}), '(') AND contains({t}, ')')))"
+
+
+def _odd_sql(w: str) -> str:
+    """A word of the noise ratio: fragment, no vowel, or a character outside letters, digits and . , / $ # & ( ) ' -"""
+    return rf"(length({w}) <= 2 OR (regexp_full_match({w}, '\p{{L}}+') AND NOT regexp_matches({w}, '[aeiouAEIOU]')) OR regexp_matches({w}, '[^\p{{L}}\p{{N}}_.,/$#&()''-]'))"
+
+
+TABLE_WORD = "regexp_full_match(w, '[0-9,]+[.][0-9]{2}')"
 TRIAGE_SQL = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(line, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM l),
-c AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda x: regexp_matches(x, '{MONEY_SQL}'))) AS m,
-        len(list_filter(ws, lambda x: regexp_matches(x, '{classify.ODD_WORD.replace("'", "''")}'))) AS odd FROM w),
+c AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda x: {_is_money_sql('x')})) AS m,
+        len(list_filter(ws, lambda x: {_odd_sql('x')})) AS odd FROM w),
 g AS (SELECT doc_id, count(*) AS n_lines, CAST(sum(m) AS BIGINT) AS n_money, max(m) >= 3 AS tab, sum(odd) / greatest(sum(n), 1) AS noise FROM c GROUP BY doc_id)
 SELECT doc_id, n_lines, n_money,
   CASE WHEN tab THEN 'itemised_invoice' WHEN n_money > 0 THEN 'summary_invoice' WHEN noise >= 0.4 THEN 'unreadable' ELSE 'standard_invoice' END AS doc_type,
@@ -85,7 +104,7 @@ SELECT doc_id, n_lines, n_money,
 @query("document_triage", TRIAGE_SQL)
 def document_triage(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").where("text is not null").withColumn("lines", F.split("text", "\n"))
-    money = F.transform("lines", lambda x: F.size(F.filter(F.split(x, SPLIT), lambda w: (w != "") & w.rlike(patterns.MONEY))))
+    money = F.transform("lines", lambda x: F.size(F.filter(F.split(x, SPLIT), lambda w: patterns.is_money(w))))
     docs = docs.withColumn("m", money).withColumn("noise", classify.noise_ratio(F.col("text")))
     docs = docs.withColumn("n_money", F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x))
     signals = {"money_table": F.array_max("m") >= 3, "any_money": F.col("n_money") > 0, "noise": F.col("noise") >= 0.4}
@@ -100,7 +119,7 @@ def document_triage(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("noise_ratio", rf"""
-WITH t AS ({TOKENS_SQL}) SELECT doc_id, round(sum(CASE WHEN regexp_matches(t, '{classify.ODD_WORD.replace("'", "''")}') THEN 1 ELSE 0 END) / count(*), 6) AS noise FROM t GROUP BY doc_id
+WITH t AS ({TOKENS_SQL}) SELECT doc_id, round(sum(CASE WHEN {_odd_sql('t')} THEN 1 ELSE 0 END) / count(*), 6) AS noise FROM t GROUP BY doc_id
 """)
 def noise_ratio(spark: SparkSession, d: str) -> DataFrame:
     n = classify.noise_ratio(F.col("text"))
@@ -111,7 +130,8 @@ def noise_ratio(spark: SparkSession, d: str) -> DataFrame:
 NOTATIONS = (
     "1,234.50", "(12.00)", "-40.500", "$-3.25", "-$3.25", "12.00cr", "7.00CR", "12", ".25", "1,23.00", "9.99/MO", "5.00 USD", "(5.00", "+6.10", "1,000", "-17", "0.5", "3.14159",
     "3/4/24", "12/31/2023", "2/30/2024", "January 5, 2024", "Feb 9, 2024", "2024-01-05", "AB 12-34", "A", "-AB", "555-234-5678", "(416) 555-2345", "1-212-555-0100", "12345", "12345-6789",
-    "K1A 0B1", "k1a0b1", "123456789rt0001", "123456789 RT 0001", "1234567890", "12 34 56 78 90 12", "€5.10", "",
+    "K1A 0B1", "k1a0b1", "123456789rt0001", "123456789 RT 0001", "1234567890", "12 34 56 78 90 12", "€5.10", "", "416-123-4567", "14165550100", "1 (416)555.0100", "7.00Cr", "9.99/MONTH", "( $ - 4.00 )", "$ 3.00 / ST", "1.00 cr.",
+    "Janitor 5, 2024", "Marching 3, 2024", "Feb 9 2024", "Sept 9, 2024", "feb 30, 2024", "Sep. 9, 2024", "MAY 1, 2024", "CKT-12345", "Quote # 2494434",
 )
 VALUES_SQL = ", ".join("('" + n.replace("'", "''") + "')" for n in NOTATIONS)
 MIXED_SQL = f"SELECT t FROM (VALUES {VALUES_SQL}) AS v(t) UNION ALL SELECT t FROM ({TOKENS_SQL})"
@@ -130,31 +150,34 @@ def _pattern(name: str, value: Callable[[Column], Column], sql: str) -> None:
     _QUERIES[f"pattern_{name}"] = (run, f"WITH s AS ({MIXED_SQL}), p AS (SELECT {sql} AS value FROM s) SELECT value, count(*) AS n FROM p WHERE value IS NOT NULL GROUP BY value")
 
 
-_PART = lambda i: f"regexp_extract(trim(t), '{MONEY_SQL}', {i})"
-_NEG = f"({_PART(2)} <> '' OR {_PART(3)} <> '' OR {_PART(7)} <> '' OR ({_PART(1)} <> '' AND {_PART(6)} <> ''))"
-_AMOUNT = f"CASE WHEN regexp_matches(trim(t), '{MONEY_SQL}') THEN CAST(replace({_PART(4)}, ',', '') || {_PART(5)} AS DECIMAL(18,4)) * CASE WHEN {_NEG} THEN -1 ELSE 1 END END"
+_DIGITS = f"replace(trim({_money_rest('t')}), ',', '')"
+_AMOUNT = f"CASE WHEN {_is_money_sql('t')} THEN try_cast({_DIGITS} AS DECIMAL(18,4)) * CASE WHEN {_negative_sql('t')} THEN -1 ELSE 1 END END"
 _pattern("currency", lambda c: patterns.currency(c).cast("decimal(18,4)"), f"CAST(CAST({_AMOUNT} AS DECIMAL(18,4)) AS VARCHAR)")
 _pattern(
     "currency_text", patterns.money_text,
-    f"CASE WHEN regexp_matches(trim(t), '{MONEY_SQL}') THEN CASE WHEN {_NEG} THEN '-' ELSE '' END || CASE WHEN {_PART(4)} = '' THEN '0' ELSE replace({_PART(4)}, ',', '') END || {_PART(5)} END",
+    f"CASE WHEN {_is_money_sql('t')} THEN CASE WHEN {_negative_sql('t')} THEN '-' ELSE '' END || CASE WHEN starts_with({_DIGITS}, '.') THEN '0' ELSE '' END || {_DIGITS} END",
 )
-_pattern("integer", patterns.integer, f"CASE WHEN regexp_matches(trim(t), '{patterns.INTEGER}') THEN CAST(try_cast(replace(trim(t), ',', '') AS BIGINT) AS VARCHAR) END")
+_pattern("integer", patterns.integer, "CASE WHEN regexp_full_match(trim(t), '[0-9]+|[0-9]{1,3}(,[0-9]{3})+') THEN CAST(try_cast(replace(trim(t), ',', '') AS BIGINT) AS VARCHAR) END")
 _pattern("decimal", lambda c: patterns.decimal(c).cast("decimal(30,6)"), f"CASE WHEN regexp_matches(trim(t), '{patterns.DECIMAL}') THEN CAST(CAST(replace(trim(t), ',', '') AS DECIMAL(30,6)) AS VARCHAR) END")
 _pattern("account", lambda c: patterns.account_number(c)["normalized"], f"CASE WHEN regexp_matches(trim(t), '{patterns.ACCOUNT}') THEN regexp_replace(trim(t), '[ -]', '', 'g') END")
-_pattern("phone", patterns.phone, f"CASE WHEN regexp_matches(trim(t), '{patterns.PHONE}') THEN trim(t) END")
+_pattern("phone", patterns.phone, r"CASE WHEN regexp_full_match(trim(t), '(1[-. ])?([(][0-9]{3}[)]|[0-9]{3})[-. ]?[0-9]{3}[-. ]?[0-9]{4}') THEN trim(t) END")
 _pattern(
     "postal", patterns.postal_code,
     f"CASE WHEN regexp_matches(trim(t), '{patterns.POSTAL_US}') THEN trim(t) WHEN regexp_matches(trim(t), '{patterns.POSTAL_CA}') "
     f"THEN upper(regexp_extract(trim(t), '{patterns.POSTAL_CA}', 1) || ' ' || regexp_extract(trim(t), '{patterns.POSTAL_CA}', 2)) END",
 )
-_pattern("tax_id", patterns.tax_id, f"CASE WHEN regexp_matches(replace(trim(t), ' ', ''), '{patterns.TAX_ID}') THEN upper(replace(trim(t), ' ', '')) END")
-_pattern("digits_run", patterns.digits_run, "CASE WHEN regexp_matches(replace(trim(t), ' ', ''), '^[0-9]{10,}$') THEN replace(trim(t), ' ', '') END")
+_MONTH = "['january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november', 'december']"
+_NAME = "lower(regexp_extract(trim(t), '^([A-Za-z]{3,9}) +([0-9]{1,2}),? +([0-9]{4})$', 1))"
+_LONG = "regexp_extract(trim(t), '^([A-Za-z]{3,9}) +([0-9]{1,2}),? +([0-9]{4})$', "
 _pattern(
     "date", patterns.date,
-    f"CASE WHEN regexp_matches(trim(t), '{patterns.SLASH_DATE}') THEN strftime(coalesce(CASE WHEN regexp_matches(trim(t), '/[0-9]{{4}}$') THEN try_strptime(trim(t), '%m/%d/%Y') END, "
-    f"CASE WHEN regexp_matches(trim(t), '/[0-9]{{2}}$') THEN try_strptime(regexp_replace(trim(t), '([0-9]+)$', '20\\1'), '%m/%d/%Y') END), '%Y-%m-%d') "
-    f"WHEN regexp_matches(trim(t), '{patterns.LONG_DATE}') THEN strftime(coalesce(try_strptime(trim(t), '%B %d, %Y'), try_strptime(trim(t), '%b %d, %Y')), '%Y-%m-%d') END",
+    f"""strftime(CASE WHEN regexp_full_match(trim(t), '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') THEN try_strptime(trim(t), '%m/%d/%Y')
+    WHEN regexp_full_match(trim(t), '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2}}') THEN try_strptime(regexp_replace(trim(t), '/([0-9]+)$', '/20\\1'), '%m/%d/%Y')
+    WHEN {_NAME} <> '' AND len(list_filter({_MONTH}, lambda m: m = {_NAME} OR m[1:3] = {_NAME} OR ({_NAME} = 'sept' AND m = 'september'))) = 1
+      THEN try_strptime({_NAME}[1:3] || ' ' || {_LONG}2) || ' ' || {_LONG}3), '%b %d %Y') END, '%Y-%m-%d')""",
 )
+_pattern("tax_id", patterns.tax_id, f"CASE WHEN regexp_matches(replace(trim(t), ' ', ''), '{patterns.TAX_ID}') THEN upper(replace(trim(t), ' ', '')) END")
+_pattern("digits_run", patterns.digits_run, "CASE WHEN regexp_matches(replace(trim(t), ' ', ''), '^[0-9]{10,}$') THEN replace(trim(t), ' ', '') END")
 
 
 @query("value_ops", r"""
@@ -178,9 +201,16 @@ def normalize_name(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "supplier").select("s_suppkey", values.normalize_name(F.col("s_name")).alias("name"))
 
 
-@query("account_key", "SELECT c_custkey, nullif(upper(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')), '') AS key FROM customer")
+LABELS = ("", "Account No. ", "acct: ", "CKT-", "Circuit# ", "circuit ", "Quote # ", "Contract #: ", "Quoted ")
+
+
+@query("account_key", f"""
+WITH l AS (SELECT * FROM (VALUES {", ".join(f"('{x}')" for x in LABELS)}) AS l(label))
+SELECT c_custkey, label, nullif(upper(regexp_replace(CASE WHEN label = 'Quoted ' THEN 'd' ELSE '' END || c_name, '[^A-Za-z0-9]', '', 'g')), '') AS key FROM customer, l
+""")
 def account_key(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "customer").select("c_custkey", values.account_key(F.concat(F.lit("Account No. "), "c_name")).alias("key"))
+    labels = F.explode(F.array(*map(F.lit, LABELS))).alias("label")
+    return _t(spark, d, "customer").select("c_custkey", "c_name", labels).select("c_custkey", "label", values.account_key(F.concat("label", "c_name")).alias("key"))
 
 
 @query("formula_escape", """
@@ -318,7 +348,7 @@ SELECT doc_id, regexp_matches(text, '[0-9]{{10}}') AS pattern_in_scope,
   len(list_filter(range(1, least(len(ls), 3) + 1), lambda i: ns[i] <= 12 AND regexp_matches(ls[i], '[.]$'))) > 0 AS title_near_top,
   len(list_filter(range(1, least(len(ls), 2) + 1), lambda i: regexp_matches(ls[i], 'the'))) > 0 AS text_near_top,
   len(list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], 'license') AND (regexp_matches(ls[i], '[0-9]') OR coalesce(regexp_matches(ls[i + 1], '[0-9]'), false)))) > 0 AS label_with_value,
-  len(list_filter(ls, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: regexp_matches(w, '{MONEY_SQL}'))) >= 3)) > 0 AS money_table,
+  len(list_filter(ls, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: {TABLE_WORD})) >= 3)) > 0 AS money_table,
   CAST(contains(text, 'the') AS INT) + CAST(contains(text, 'que') AS INT) + CAST(contains(text, 'der') AS INT) AS aliases FROM s
 """
 
@@ -526,6 +556,15 @@ def confidence_score(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(score.apply_modifiers(q, mods).cast("double"), 6).alias("confidence"))
 
 
+@query("confidence_boosts", """
+SELECT l_orderkey, l_linenumber, round(least(0.99, (1 - l_discount) * least(1.10, power(1.03, l_linenumber - 1))), 6) AS boosted FROM lineitem
+""")
+def confidence_boosts(spark: SparkSession, d: str) -> DataFrame:
+    """Line numbers as numbers of boosts, up to six."""
+    q = (F.lit(1) - F.col("l_discount")).cast("decimal(12,10)")
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(score.apply_boosts(q, F.col("l_linenumber") - 1).cast("double"), 6).alias("boosted"))
+
+
 @query("confidence_gate", """
 WITH c AS (SELECT l_orderkey, count(*) AS n, count_if(l_discount < 0.05) AS low, count_if(l_discount >= 0.05 AND l_discount < 0.08) AS mid, bool_or(l_returnflag = 'R') AS forced FROM lineitem GROUP BY l_orderkey),
 k AS (SELECT *, CASE WHEN low + mid = 0 THEN 'high' WHEN low / n >= 0.6 THEN 'low' ELSE 'medium' END AS lane FROM c)
@@ -663,8 +702,13 @@ def problem_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query("telemetry_windowed", f"WITH t AS ({TELE_SQL}) SELECT epoch(time_bucket(INTERVAL '1 hour', logged_at))::BIGINT AS hour_start, disposition, count(*) AS n FROM t GROUP BY ALL")
 def telemetry_windowed(spark: SparkSession, d: str) -> DataFrame:
-    t = _telemetry(spark, d).withColumn("logged_at", F.col("logged_at").cast("timestamp"))
-    return t.groupBy(F.window("logged_at", "1 hour").alias("w"), "disposition").agg(F.count("*").alias("n")).select(F.unix_timestamp("w.start").alias("hour_start"), "disposition", "n")
+    """Counts by hour of the stream of events; nothing is late, as all files are there when it starts."""
+    from quillstone.streaming.stream import available_now, file_stream, windowed
+
+    events = file_stream(spark, d, "events.parquet", _t(spark, d, "events").schema)
+    t = events.select(F.col("ts").cast("timestamp").alias("logged_at"), F.when(F.col("event_type") == "purchase", "dead_letter").otherwise("processed").alias("disposition"))
+    got = available_now(spark, windowed(t, "logged_at", "1 hour", "1 day", "disposition"), mode="complete")
+    return got.select(F.unix_timestamp("window.start").alias("hour_start"), "disposition", "n")
 
 
 CARD_SQL = """
@@ -722,3 +766,96 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 
     events = distinct_stream(spark, d, "events.parquet", _t(spark, d, "events").schema, ["user_id", "event_type", "value"])
     return available_now(spark, events).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- selector execution and records
+
+
+def _order_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as printed pages: a number, a date, an amount under one of two labels, a payment slip's digits."""
+    k = F.col("o_orderkey")
+    put = lambda x, y, t: F.struct(t.alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(y)).alias("y0"), (F.lit(float(x)) + 6 * F.length(t)).alias("x1"), F.lit(float(y + 10)).alias("y1"))
+    lit = F.lit
+    amount = F.concat(lit("$"), F.format_number("o_totalprice", 2))
+    words = [put(20, 10, lit("Invoice")), put(68, 10, lit("No:")), put(120, 10, F.concat(lit("N"), k.cast("string")))]
+    words += [put(20, 30, lit("Order")), put(56, 30, lit("Date")), put(120, 30, F.date_format("o_orderdate", "M/d/yyyy"))]
+    words += [put(20, 50, F.when(k % 3 == 0, "Balance").otherwise("Amount")), put(68, 50, F.when(k % 3 == 0, "Outstanding").otherwise("Due")), put(200, 50, amount)]
+    words += [put(20, 90, F.lpad(F.col("o_custkey").cast("string"), 20, "0")), put(200, 90, lit("slip")), put(260, 90, k.cast("string"))]
+    o = _t(spark, d, "orders").select(k.alias("document_id"), F.lit(1).alias("page_number"), F.array(*words).alias("words"), F.lit(3.0).alias("line_tolerance"))
+    return geometry.lines(o)
+
+
+ORDER_FIELDS = (
+    {"field": "invoice_number", "anchor": "Invoice No", "pattern": "account_number", "region": "same-row"},
+    {"field": "invoice_date", "anchor": "Order Date:", "pattern": "date", "region": "near-anchor"},
+    {"field": "total_printed", "anchor": "Amount Due", "anchor_alts": ["Balance Outstanding"], "pattern": "currency", "region": "same-row"},
+    {"field": "slip", "pattern": "[0-9]{20}", "region": "any-page"},
+)
+
+
+@query("executor_fields", """
+SELECT o_orderkey AS document_id, 'invoice_number' AS field, 'N' || o_orderkey AS value, 1.0::DOUBLE AS quality, '' AS modifiers FROM orders
+UNION ALL SELECT o_orderkey, 'invoice_date', strftime(o_orderdate, '%Y-%m-%d'), 1.0, '' FROM orders
+UNION ALL SELECT o_orderkey, 'total_printed', CAST(CAST(o_totalprice AS DECIMAL(18,4)) AS VARCHAR), CASE WHEN o_orderkey % 3 = 0 THEN 0.95 ELSE 1.0 END, CASE WHEN o_orderkey % 3 = 0 THEN 'anchor_alt_used' ELSE '' END FROM orders
+UNION ALL SELECT o_orderkey, 'slip', lpad(CAST(o_custkey AS VARCHAR), 20, '0'), 0.9, '' FROM orders
+""")
+def executor_fields(spark: SparkSession, d: str) -> DataFrame:
+    got = executor.fields(_order_pages(spark, d), ORDER_FIELDS)
+    return got.select("document_id", "field", "value", F.col("quality").cast("double").alias("quality"), F.array_join("modifiers", ",").alias("modifiers"))
+
+
+@query("executor_scanline", "SELECT o_orderkey AS document_id, lpad(CAST(o_custkey AS VARCHAR), 20, '0') || ' ' || o_orderkey AS scanline FROM orders")
+def executor_scanline(spark: SparkSession, d: str) -> DataFrame:
+    return executor.scanline(_order_pages(spark, d))
+
+
+@query("executor_row_groups", """
+SELECT l_orderkey AS document_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row, CAST(l_partkey AS VARCHAR) AS item,
+  CASE WHEN l_linenumber % 4 <> 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS qty, CAST(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(38,4)) AS VARCHAR) AS amount FROM lineitem
+""")
+def executor_row_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as tables with a header, an empty cell in every fourth row, and a total and a remark below."""
+    at = lambda t, x: F.struct(t.alias("text"), F.lit(float(x)).alias("x0"), F.col("y").alias("y0"), (F.lit(float(x)) + 6 * F.length(t)).alias("x1"), (F.col("y") + 10).alias("y1"))
+    li = _t(spark, d, "lineitem").withColumn("at", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
+    li = li.withColumn("y", F.col("at") * 14.0 + 20)
+    cell = F.array(at(F.col("l_partkey").cast("string"), 20), at(F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity").cast("long").cast("string")), 200), at(F.format_number("l_extendedprice", 2), 300))
+    rows = li.select(F.col("l_orderkey").alias("document_id"), F.filter(cell, lambda w: w["text"].isNotNull()).alias("w"))
+    ends = li.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.max("y").alias("bottom"), F.sum(F.col("l_extendedprice").cast(MONEY)).alias("s"))
+    top = ends.withColumn("y", F.lit(20.0)).select("document_id", F.array(at(F.lit("Item"), 20), at(F.lit("Qty"), 200), at(F.lit("Amount"), 300)).alias("w"))
+    total = ends.withColumn("y", F.col("bottom") + 14).select("document_id", F.array(at(F.lit("Total"), 20), at(F.format_number("s", 2), 300)).alias("w"))
+    words = rows.unionByName(top).unionByName(total).groupBy("document_id").agg(F.flatten(F.collect_list("w")).alias("words"))
+    lines = geometry.lines(words.select("document_id", F.lit(1).alias("page_number"), "words", F.lit(3.0).alias("line_tolerance")))
+    got = executor.row_groups(lines, {"table_anchor": "Item", "column_headers": {"item": "Item", "qty": "Qty", "amount": "Amount"}, "columns": {"item": "text", "qty": "integer", "amount": "currency"}, "require_amount": True})
+    cells = F.col("cells")
+    return got.select("document_id", F.col("row").cast("long").alias("row"), *(F.try_element_at(cells, F.lit(c)).alias(c) for c in ("item", "qty", "amount")))
+
+
+RECORD_SQL = """
+WITH v AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'lost' WHEN o_orderkey % 7 = 0 THEN 'skipped' ELSE 'processed' END AS disposition FROM orders),
+x AS (SELECT k, disposition, concat_ws(', ', CASE WHEN disposition = 'lost' THEN 'disposition' END, CASE WHEN disposition = 'processed' AND k % 13 = 0 THEN 'doc_type' END,
+  CASE WHEN disposition = 'processed' AND k % 5 = 0 THEN 'identity_keys' END, CASE WHEN k % 17 = 0 THEN 'confidence_range' END, CASE WHEN k % 19 = 0 THEN 'reference_page' END,
+  CASE WHEN k % 23 = 0 THEN 'coverage_order' END, CASE WHEN k % 3 = 0 AND k % 23 <> 0 AND k % 2 = 0 THEN 'coverage_complete' WHEN k % 23 = 0 AND k % 3 = 0 THEN 'coverage_complete' END, CASE WHEN k % 29 = 0 THEN 'scanline' END) AS broken FROM v)
+"""
+
+
+@query("record_contract", RECORD_SQL + """SELECT CAST(k AS VARCHAR) AS document_id, CASE WHEN broken <> '' THEN 'dead_letter' ELSE disposition END AS disposition,
+  CASE WHEN broken <> '' THEN 'contract: ' || broken END AS reason, broken <> '' AS review_flag FROM x""")
+def record_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as documents, some of which break a rule of the contract."""
+    k = F.col("o_orderkey")
+    text = lambda *kv: F.create_map(*(F.lit(x) if isinstance(x, str) else x for x in kv))
+    cover = F.struct(F.lit(4).alias("declared"), F.when(k % 23 == 0, 5).when(k % 2 == 0, 3).otherwise(4).alias("populated"), F.array().cast("array<string>").alias("missing_required"), (k % 3 == 0).alias("complete"))
+    o = _t(spark, d, "orders").select(
+        k.cast("string").alias("document_id"), F.when(k % 13 != 0, "invoice").alias("doc_type"), F.when(k % 11 == 0, "lost").when(k % 7 == 0, "skipped").otherwise("processed").alias("disposition"),
+        F.when(k % 5 == 0, text("document_identity", "x")).otherwise(text("document_identity", "x", "identity_basis", "y")).alias("derived"),
+        text("total", F.when(k % 17 == 0, 1.0).otherwise(0.99)).alias("confidence"), cover.alias("extraction_coverage"),
+        F.array(F.struct(F.lit("v").alias("value"), F.lit("f").alias("source_field"), F.when(k % 19 == 0, 0).otherwise(1).alias("page"), F.lit("p").alias("pattern_id"))).alias("reference_list"),
+        F.when(k % 29 == 0, "12a").otherwise("0012").alias("scanline"),
+    )
+    return record.validate_record(record.build_record(o)).select("document_id", "disposition", "reason", "review_flag")
+
+
+@query("process_complete", "SELECT count(*) AS intaken, count(*) AS emitted, 0 AS missing, true AS complete FROM orders")
+def process_complete(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("document_id"))
+    return record.process(o, record.validate_record(record.build_record(o)))

@@ -35,12 +35,20 @@ def windowed(stream: DataFrame, at: str, width: str, late: str, *by: str) -> Dat
     return stream.withWatermark(at, late).groupBy(F.window(at, width), *by).agg(F.count("*").alias("n"))
 
 
-def available_now(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """Run a stream over all files present and return what it wrote, as a table."""
+def available_now(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over all files present and return what it wrote, as a table.
+
+    ``complete`` results are written whole by each micro-batch over the one before.
+    """
     root = _root(spark)
-    q = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    out = f"{root}/out"
+    write = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    if mode == "append":
+        write = write.format("parquet").option("path", out)
+    else:
+        write = write.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+    write.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def run_batches(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], state: str) -> None:

@@ -98,3 +98,79 @@ def test_near_anchor_grows_with_the_pitch(spark):
         page = {"anchor_x": F.lit(50.0), "anchor_y": F.lit(100.0), "pitch": pitch, "tolerance": F.lit(2.5)}
         got = one.select(*[geometry.in_region("near-anchor", {"x0": F.lit(x), "y0": F.lit(y)}, page).alias(f"c{i}") for i, (x, y) in enumerate([(500.0, 100.0), (60.0, 170.0), (60.0, 97.2), (60.0, 130.0)])]).first()
         assert list(got) == [near, near, False, True]
+
+
+def test_persona_rules():
+    import json
+
+    from quillstone.plans.persona import PersonaError, parse_persona, undeclared_risk_fields, validate_persona
+
+    good = {"field": "total_printed", "anchor": "Amount Due", "pattern": "currency", "region": "same-row", "adjust": "trim"}
+    names = ["total_printed", "invoice_number", "vendor_name"]
+
+    def check(*selectors, **more):
+        base = {"sender_fingerprint": "p|v", "doc_type": "invoice", "field_selectors": list(selectors)}
+        required = more.pop("required", ())
+        return validate_persona(parse_persona(json.dumps(base | more)), registered=names, required=required)
+
+    p = check(good)
+    assert p.selectors[0]["adjust"] == ["trim"] and undeclared_risk_fields(p, names) == ["invoice_number", "vendor_name"]
+    bad = {
+        "V1": [good | {"field": "other"}], "V2": [good | {"adjust": ["shout"]}], "V3": [good | {"region": "corner"}], "V4": [good | {"pattern": "a*"}],
+        "V5": [{k: v for k, v in good.items() if k != "region"}, good | {"field": "vendor_name"}], "V6": [good | {"pattern": "[0-9]{5}", "region": "any-page"}],
+        "V7": [{"scanline": True, "asserts": [{"field": "vendor_name"}]}], "V8": [{"row_group": "g", "columns": {}, "sub_group": {"sub_group": {}}}], "V9": [{"row_group": "g", "columns": {}, "row_count": {"min": 3, "max": 3}}],
+        "V10": [good | {"field": "amount_payable"}], "V14": [{"field": "vendor_name", "pattern": "(ACME)", "region": "any-page"}],
+    }
+    for rule, selectors in bad.items():
+        with pytest.raises(PersonaError) as e:
+            check(*selectors)
+        assert e.value.rule == rule
+    for rule, more in (("V11", {"note": "x" * (64 << 10)}), ("V12", {"few_shot_examples": [{}] * 4}), ("V12", {"few_shot_examples": [{"tags": ["flattened_annotations"]}]}), ("V13", {"required": ["invoice_number"]})):
+        with pytest.raises(PersonaError) as e:
+            check(good, **more)
+        assert e.value.rule == rule
+    check(good, required=["invoice_number"], status="draft")
+    check(good, required=["vendor_name"], ops=["resolve_vendor_alias"])
+
+
+def test_table_stops_at_gap_and_subtotal(spark):
+    from quillstone.operators import executor
+
+    def page(*rows):
+        words = [(t, float(x), float(y), float(x + 6 * len(t)), float(y + 10)) for y, cells in rows for x, t in cells]
+        return geometry.lines(spark.createDataFrame([(1, 1, words, 3.0)], f"document_id int, page_number int, words {readers.WORD_TYPE}, line_tolerance double"))
+
+    head = (10, [(20, "Item"), (200, "Amount")])
+    rows = [(24, [(20, "a"), (200, "1.00")]), (38, [(20, "b"), (200, "2.00")]), (52, [(20, "sum"), (200, "3.00")]), (66, [(20, "c"), (200, "9.00")])]
+    group = {"table_anchor": "Item", "column_headers": {"item": "Item", "amount": "Amount"}, "columns": {"item": "text", "amount": "currency"}}
+    got = lambda lines, **more: [r.cells["item"] for r in executor.row_groups(lines, group | more).orderBy("row").collect()]
+    assert got(page(head, *rows)) == ["a", "b", "sum", "c"]
+    assert got(page(head, *rows), stop_at_subtotal=True, amount="amount") == ["a", "b"]
+    assert got(page(head, *rows, (140, [(20, "far"), (200, "1.00")]))) == ["a", "b", "sum", "c"]
+    assert got(page(head, rows[0], (38, [(20, "no amount")]), rows[2]), require_amount=True) == ["a", "sum"]
+    assert got(page((10, [(20, "none")]))) == []
+
+
+@pytest.mark.parametrize("text,want", [("Total: done! caf\u00e9 plain", 0.5), ("", 0.0), ("na\u00efve rhythm ok", 2 / 3)])
+def test_noise(spark, text, want):
+    from quillstone.operators import classify
+
+    assert abs(_one(spark, text, classify.noise_ratio) - want) < 1e-9
+
+
+def test_table_words_and_last_tokens(spark):
+    from quillstone.operators import classify
+
+    r = spark.range(1).select(
+        classify.money_table_present(F.array(F.lit("12.1234 3.1 4.5"))), classify.money_table_present(F.array(F.lit("1,000.00 2.50 .75 x"), F.lit("1,0.00 22.50 3.75"))),
+        classify.second_to_last_token_nonzero(F.array(F.lit(5.0))), classify.second_to_last_token_nonzero(F.array(F.lit(0.0), F.lit(5.0))), classify.second_to_last_token_nonzero(F.array().cast("array<double>")),
+    ).first()
+    assert tuple(r) == (False, True, True, False, False)
+
+
+def test_restricted_patterns_know_classes_and_groups():
+    for good in ("[*+]{1,3}", r"\*\+", "(a{1,3})?b", "(?:ab){2}", "x{2,5}"):
+        assert patterns.compile_restricted(good) == good
+    for bad in ("(?:a{1,2}){3}", "a{2,}", "a?+", "(?>a)", "(?P<x>a)(?P=x)", "((?:a?)b){2}", ""):
+        with pytest.raises(patterns.PatternError):
+            patterns.compile_restricted(bad)
