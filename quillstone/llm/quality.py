@@ -50,14 +50,14 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import slices, spread, to_batch
 
 BUCKETS = 1 << 24
-SAMPLE = 6_000
-SAMPLE_BYTES = 48 << 20
+SAMPLE = 4_000
+SAMPLE_BYTES = 32 << 20
 MIN_DOCUMENTS = 4
 PENALTY = 3e-3
 REFIT = 0.1
 KEEP_AT = 0.7
 TOP = 2
-CACHE_WORDS, SCORED_WORDS, CACHED_LENGTH = 60_000, 250_000, 40
+CACHE_WORDS, SCORED_WORDS, CACHED_LENGTH = 60_000, 200_000, 40
 SHAPES = 1 << 20
 REPEATS = BUCKETS  # bucket of the share of words that repeat their predecessor
 #: A shape that makes up this inverse share of a text's words counts in full.
@@ -205,17 +205,23 @@ def fit(grades: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], *, min_do
     if len(np.unique(grades)) < 2:
         return OrdinalModel()
     index = np.concatenate([i for i, _ in rows])
-    value = np.concatenate([v for _, v in rows]).astype(np.float64)
-    row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
-    names, col, seen = np.unique(index, return_inverse=True, return_counts=True)
+    value = np.concatenate([v for _, v in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _ in rows])
+    del rows
+    names, seen = np.unique(index, return_counts=True)
+    names = names[seen >= min_documents]
+    if not len(names):
+        return OrdinalModel()
+    at = np.minimum(np.searchsorted(names, index), len(names) - 1).astype(np.int32)
+    keep = names[at] == index
+    col, row, value = at[keep], row[keep], value[keep]
+    del index, at, keep
 
     def part(use: np.ndarray) -> Likelihood:
         keep = use[col]
-        return Likelihood(grades, row[keep], (np.cumsum(use) - 1)[col[keep]], value[keep], int(use.sum()))
+        return Likelihood(grades, row[keep], (np.cumsum(use, dtype=np.int32) - 1)[col[keep]], value[keep], int(use.sum()))
 
-    ok = seen >= min_documents
-    full = part(ok)
-    names, col, row, value = names[ok], full.col, full.row, full.value
+    full = Likelihood(grades, row, col, value, len(names))
     w, raw, live = np.zeros(full.size), full.start(), np.zeros(full.size, bool)
     while True:  # ends: ``live`` only grows
         more = (np.abs(full(w, raw)[1]) > penalty) & ~live
@@ -268,8 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample_by
     once = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").groupBy("doc_id", "grade").agg(shortest)
     got = once.select("grade", F.col("least.text").alias("text")).mapInArrow(run, "grade int, index binary, value binary").collect()
     got.sort(key=lambda r: (r["grade"], bytes(r["index"]), bytes(r["value"])))
-    rows = [(np.frombuffer(bytes(r["index"]), "<i4"), np.frombuffer(bytes(r["value"]), "<f4")) for r in got]
-    return fit(np.array([r["grade"] for r in got], int), rows)
+    return fit(np.array([r["grade"] for r in got], int), [(np.frombuffer(r["index"], "<i4"), np.frombuffer(r["value"], "<f4")) for r in got])
 
 
 class Codes(dict):

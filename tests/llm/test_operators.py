@@ -121,6 +121,9 @@ def test_forest_equals_brute_force(spark):
     got = {r.vec_id: r for r in forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect() if r.vec_id is not None}
     assert all(got[i].n_links == g[i].sum() - 1 and got[i].component_id == want[i] for i in range(400))
     assert all(got[i].n_links == 0 and got[i].kept for i in range(900, 905))
+    odd = [(1, [1e200, 0.0, 0.0]), (2, [2e200, 0.0, 0.0]), (3, [1e-200, 0.0, 0.0]), (4, [1.0, 0.0]), (5, [2.0, 0.0]), (6, [0.0, 1.0]), (7, [1.0]), (8, [3.0]), (8, [0.0, 3.0]), (9, None), (10, [3.0, 3.0]), (10, [-3.0, 3.0]), (11, [2.9, 3.0])]
+    got = forest.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in odd], "vec_id long, embedding array<double>, rep string, links int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 6), (8, 1, 6), (8, 1, 6), (9, 0, 9), (10, 0, 10), (10, 1, 10), (11, 1, 10)]
     assert forest.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
@@ -150,6 +153,24 @@ def test_shards(spark, awkward, empty):
     assert done.sums == [14, 16] and sorted(shards.members(done.bins[0]) + shards.members(done.bins[1])) == [0, 1, 2, 3, 4]
 
 
+def test_shards_balance_bytes_and_keep_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(spark.createDataFrame([(-1, None, "x", "y", 0), (-2, "", "x", "y", 0), (-2, "", "x", "y", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    got = shards.assign(docs.withColumn("grp", F.lit(1)).withColumn("size", F.lit("x")), 10).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        raw = (text[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 16, zlib.crc32(raw))
+    where: dict = {}
+    for r in got:
+        where.setdefault(text[r.doc_id], set()).add(r.shard)
+    assert all(len(s) == 1 for s in where.values())
+    load = [sum(r.size for r in got if r.shard == s) for s in range(10)]
+    assert sum(load) == sum(r.size for r in got) and max(load) - min(load) <= 0.001 * sum(load) / 10
+    for s in range(10):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_budgets_go_to_siblings_first():
     leaves = {("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 100}
     got = mixing.budgets(leaves, {}, 100, 1)
@@ -225,16 +246,100 @@ def test_forward_is_exact():
     assert hmm.log10_probability(m, syms, np.array([5]))[0] == pytest.approx(np.log10(total))
 
 
-def test_classifier_separates_grades(spark, awkward, empty):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    model = quality.train(docs, labels)
-    got = quality.score_documents(docs, model).join(quality.rated(labels), "doc_id").toPandas()
-    assert got[got.grade == 2].kept.mean() > 0.98 and got[got.grade == 0].kept.mean() < 0.05
+def test_whole_document_messages_equal_enumeration(monkeypatch):
+    """Expected counts over all state paths, of documents cut into segments of two tokens."""
+    monkeypatch.setattr(hmm, "SEGMENT", 2)
+    rng = np.random.default_rng(4)
+    emit = np.zeros((hmm.SYMBOLS, 3))
+    emit[:4] = rng.dirichlet([1] * 4, 3).T
+    m = hmm.Model(rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), emit)
+    docs = [rng.integers(0, 4, n) for n in (1, 2, 5, 6)]
+    start, move, out, log = np.zeros(3), np.zeros((3, 3)), np.zeros((4, 3)), 0.0
+    for d in docs:
+        paths = []
+        for path in np.ndindex(*(3,) * len(d)):
+            p = m.start[path[0]] * emit[d[0], path[0]]
+            for t in range(1, len(d)):
+                p *= m.move[path[t - 1], path[t]] * emit[d[t], path[t]]
+            paths.append((p, path))
+        total = sum(p for p, _ in paths)
+        log += np.log10(total)
+        for p, path in paths:
+            start[path[0]] += p / total
+            for t, s in enumerate(path):
+                out[d[t], s] += p / total
+                if t:
+                    move[path[t - 1], s] += p / total
+    n = np.array([len(d) for d in docs])
+    got = hmm.expected_counts(m, *hmm.segments(np.concatenate(docs), n, np.ones(len(docs), bool)))
+    for a, b in zip(got, (start, move, out, log)):
+        assert np.allclose(a[:4] if np.ndim(a) == 2 and len(a) > 4 else a, b, rtol=1e-4, atol=1e-4)
+
+
+def test_hmm_base_equals_a_plain_count(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + AWKWARD
+    words = [[*(t or "").encode().lower().split(), None] for _, t in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    count: dict = {}
+    for w, h in zip(words, held):
+        for x in w if not h else ():
+            count[x] = count.get(x, 0) + 1
+    total = sum(count.values())
+    want = sorted((str(i), h, len(w), sum(x in count for x in w), total, round(sum(np.log10((count.get(x, 0) + 0.5) / (total + 0.5 * (len(count) + 1))) for x in w), 6)) for (i, _), w, h in zip(rows, words, held))
+    got = hmm.train_and_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+
+
+def test_ordinal_fit_equals_an_independent_one():
+    """Gradient by differences, and the optimum of a dense fit by another method."""
+    rng = np.random.default_rng(6)
+    x = (rng.random((300, 6)) < 0.4).astype(float)
+    score = x @ np.array([2.0, -2.0, 1.0, 0.0, 0.0, 0.0])
+    g = (score[:, None] + rng.logistic(size=(300, 1)) > np.array([[-0.5, 1.0]])).sum(axis=1)
+    row, col = np.nonzero(x)
+    f = quality.Likelihood(g, row, col, np.ones(len(row)), 6)
+    w, raw = rng.standard_normal(6), np.array([-0.3, 0.2])
+    _, by_w, by_raw = f(w, raw)
+    for grad, at in ((by_w, w), (by_raw, raw)):
+        for i in range(len(at)):
+            at[i] += 1e-5
+            up = f(w, raw)[0]
+            at[i] -= 2e-5
+            down = f(w, raw)[0]
+            at[i] += 1e-5
+            assert abs((up - down) / 2e-5 - grad[i]) < 1e-6
+    rows = [(np.flatnonzero(r).astype(np.int32), np.ones(int(r.sum()), np.float32)) for r in x]
+    got = quality.fit(g, rows + rows, penalty=1e-3, refit=1.0, steps=3000, min_documents=1)  # copies count once: the rows must differ
+    once = {(int(k), tuple(np.flatnonzero(r))) for k, r in zip(g, x)}
+    gu = np.array([k for k, _ in once])
+    xu = np.array([[float(i in c) for i in range(6)] for _, c in once])
+
+    def loss(p):
+        cut = np.array([p[6], p[6] + np.exp(p[7])])
+        c = np.concatenate([np.zeros((len(gu), 1)), 1 / (1 + np.exp(-(cut - (xu @ p[:6])[:, None]))), np.ones((len(gu), 1))], axis=1)
+        return -np.log(c[np.arange(len(gu)), gu + 1] - c[np.arange(len(gu)), gu]).mean() + 1e-3 * np.abs(p[:6]).sum()
+
+    mine = np.array([got.weights.get(i, 0.0) for i in range(6)] + [got.thresholds[0], np.log(got.thresholds[1] - got.thresholds[0])])
+    best = loss(mine)
+    for _ in range(2_000):  # no nearby point is better
+        assert loss(mine + rng.standard_normal(8) * rng.choice([1e-3, 1e-2, 1e-1])) > best - 2e-6
+
+
+def test_classifier_on_documents_it_was_not_fitted_on(spark, awkward, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    train = labels.where("doc_id % 3 <> 0")
+    model = quality.train(docs, train.unionByName(train))  # repeated ratings count once
     assert list(model.thresholds) == sorted(model.thresholds)
-    assert quality.score_documents(awkward, model).count() == len(AWKWARD) and quality.score_documents(empty, model).count() == 0
+    got = quality.score_documents(docs, model).join(quality.rated(labels.where("doc_id % 3 = 0")), "doc_id").toPandas()
+    assert got[got.grade == 2].kept.mean() > 0.98 and got[got.grade == 0].kept.mean() < 0.05 and got[got.grade == 1].kept.mean() < 0.3
+    odd = quality.score_documents(awkward, model).collect()
+    assert len(odd) == len(AWKWARD) and {(r.expected_grade, r.tail_probability, r.kept) for r in odd if r.doc_id in (3, 4, 5)} == {(0.0, 0.0, False)}
+    kept = {(r.doc_id, r.tail_probability) for r in odd if r.kept}
+    assert sorted(map(str, quality.keep_documents(awkward, model).collect())) == sorted(str(r) for r in awkward.collect() if any(r.doc_id == i for i, _ in kept))
+    assert quality.score_documents(empty, model).count() == 0 and quality.keep_documents(empty, model).count() == 0
     none = quality.train(docs, labels.where("false"))
-    assert quality.score_documents(docs, none).where("not kept").count() == 0
+    assert quality.score_documents(awkward, none).where("not kept").count() == 0
 
 
 def test_revisits(spark):
@@ -300,13 +405,27 @@ def test_minhash_blocks_join_what_is_linked(spark, monkeypatch):
         assert _components(list(range(80)), lambda a, b: (a, b) in got) == want
 
 
+def test_neighbours_of_repeated_rows_lengths_and_ties(spark):
+    """Few rows, so every answer is complete: against brute force over rows."""
+    rows = [(i, [float(i % 4), 1.0]) for i in range(15)] + [(20, [1.0, 1.0]), (20, [1.0, 1.0]), (20, [0.0, 2.0]), (40, [1.0]), (41, [5.0]), (42, [1e300]), (60, None), (None, [1.0, 1.0]), (80, [0.0, 0.0])]
+    got = nndescent.nearest(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, node string")).collect()
+    want = []
+    good = [(i, v) for i, v in rows if i is not None and v and any(v)]
+    for at, (q, v) in enumerate(good):
+        if q % 20 == 0:
+            near = sorted((-float(np.dot(v, w)), i) for j, (i, w) in enumerate(good) if j != at and len(w) == len(v))[:20]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(near)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_neighbour_graph_converges(spark, monkeypatch):
     """A poor start needs more rounds than four; the graph's own lists must still be near the truth."""
     monkeypatch.setattr(nndescent, "TREES", 2)
     monkeypatch.setattr(nndescent, "LEAF", 8)
     x = np.random.default_rng(8).standard_normal((2_000, 48))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    index = nndescent.build(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    rows = spark.createDataFrame([(i, i, bytearray(v.astype("<f8").tobytes())) for i, v in enumerate(x)], "node long, vec_id long, vec binary")
+    index = nndescent.build(rows, 48, nndescent.Scratch(spark, "test"))
     s = x @ x.T
     np.fill_diagonal(s, -np.inf)
     near = np.argsort(-s, axis=1)[:, :10]
