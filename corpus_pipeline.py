@@ -1,7 +1,14 @@
 """The corpus pipeline: classify, remove near-duplicates, mix, encode.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
-written as Parquet and read back as the next stage's ``docs``.
+written as Parquet and read back as the next stage's ``docs``; all but the last
+return the columns of ``docs``, whatever else these are.
+
+Defined results: null or blank text goes in the first stage (all stay if fewer
+than two grades are rated, and then go in the third, as they have no tokens); of
+rows that share a ``doc_id`` one stays, in the second stage; a null ``doc_id``
+is an id like others to the first, third and last stage and is no copy of
+anything to the second; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids)`` of each document."""
+    """``(doc_id, n_tokens, ids, decoded_sha256)`` of each document, the digest of the text decoded from the ids."""
     return bpe.encode_documents(docs, tokenizer_path(BYTE_TOKENIZER))
 
 
