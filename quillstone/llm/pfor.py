@@ -65,7 +65,7 @@ def pack_block(values: np.ndarray) -> bytes:
     at = (len(rest) * PERCENTILE + 99) // 100 - 1
     width = int(np.partition(rest, at)[at]).bit_length()
     odd = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
-    bits = ((rest[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+    bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little") if width else np.empty(0, np.uint8)
     head = np.array([(low, width, len(rest), len(odd))], BLOCK_HEAD)
     return b"".join([head.tobytes(), np.packbits(bits, bitorder="little").tobytes(), odd.astype("<u2").tobytes(), rest[odd].astype("<u4").tobytes()])
 
@@ -75,11 +75,10 @@ def unpack_block(data: memoryview, at: int) -> np.ndarray:
     low, width, n, odd = int(low), int(width), int(n), int(odd)
     at += BLOCK_HEAD.itemsize
     size = (n * width + 7) // 8
-    out = np.zeros(n, np.uint32)
+    whole = np.zeros((n, 32), np.uint8)
     if width:
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-        for b in range(width):
-            out |= bits[:, b].astype(np.uint32) << np.uint32(b)
+        whole[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
+    out = np.packbits(whole, axis=1, bitorder="little").view("<u4").ravel()
     at += size
     if odd:
         where = np.frombuffer(data, "<u2", odd, at)

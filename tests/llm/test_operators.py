@@ -387,6 +387,16 @@ def test_pipeline_stages(spark):
     assert len({r.doc_id for r in out}) == len(out) and 0 < len(out) < docs.count()
 
 
+def test_files_hold_every_byte_value(spark, tmp_path):
+    """The text writer copies bytes as they are, whatever they are, and adds one line feed."""
+    rng = np.random.default_rng(2)
+    raw = [bytes(range(256)) + rng.bytes(5_000) + b"\r\n\n", b"\xff\xfe\x00", b"\r"]
+    files = spark.createDataFrame([(bytearray(r + b"\n"),) for r in raw], "file binary")
+    pfor.as_text(files).write.option("maxRecordsPerFile", 1).text(str(tmp_path / "f"))
+    back = spark.read.format("binaryFile").load(str(tmp_path / "f")).select("content").collect()
+    assert sorted(bytes(r.content) for r in back) == sorted(r + b"\n" for r in raw)
+
+
 def test_minhash_blocks_join_what_is_linked(spark, monkeypatch):
     """Spanning links of the blocks against brute force on whole sets, whatever the block size."""
     rng = np.random.default_rng(3)
