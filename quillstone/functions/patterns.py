@@ -54,8 +54,8 @@ def is_money(c: Column) -> Column:
 def currency(c: Column) -> Column:
     """Exact amount; negative by a sign, a trailing ``cr``, or both parentheses."""
     digits, negative, valid = _amount(c)
-    value = F.when(c.contains(".") & valid, digits).try_cast("decimal(38,4)")
-    return F.when(negative, -value).otherwise(value)
+    value = digits.try_cast("decimal(38,4)")
+    return F.when(c.contains(".") & valid, F.when(negative, -value).otherwise(value))  # most texts are no money: their sign is not looked for
 
 
 def money_text(c: Column) -> Column:

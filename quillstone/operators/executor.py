@@ -26,21 +26,31 @@ ANCHORED, WIDE = ("same-row", "near-anchor", "line_items"), "any-page"
 TABLE_GAP, TABLE_FLOOR, SCANLINE_DIGITS = 2.5, 24.0, 18
 
 
+def anchor_hits(words: Column, selectors: Sequence[Mapping]) -> Column | None:
+    """Hits of all declared phrases in a line: ``array<struct(sel, alt, start, n)>``; None if nothing is declared.
+
+    As :func:`geometry.find_anchors`, inside the row: the shortest run from each start that equals a phrase.
+    """
+    said = [(i, k, p) for i, s in enumerate(selectors) for k, p in enumerate([s.get("anchor"), *s.get("anchor_alts", ())]) if p]
+    if not said:
+        return None
+    named = lambda key: F.filter(F.array(*(F.struct(F.lit(i).alias("sel"), F.lit(k).alias("alt"), geometry.anchor_key(F.lit(p)).alias("key")) for i, k, p in said)), lambda q: q["key"] == key)
+    runs = geometry.anchor_runs(words, max(len(p.split()) for _, _, p in said))
+    hits = F.flatten(F.transform(runs, lambda r: F.transform(named(r["key"]), lambda q: F.struct(q["sel"].alias("sel"), q["alt"].alias("alt"), r["start"].alias("start"), r["n"].alias("n")))))
+    shorter = lambda all_, h: F.exists(all_, lambda o: (o["sel"] == h["sel"]) & (o["alt"] == h["alt"]) & (o["start"] == h["start"]) & (o["n"] < h["n"]))
+    return geometry.let(hits, lambda all_: F.filter(all_, lambda h: ~shorter(all_, h)))
+
+
 def pick_anchors(lines: DataFrame, selectors: Sequence[Mapping]) -> DataFrame:
     """``(document_id, sel, alt, page_number, line_idx, start, n, hits)``: one anchor for each selector and document.
 
     The declared anchor, else its alternates in order; of the first phrase that
     occurs, the first or last hit (``anchor_occurrence``) in reading order.
     """
-    spark = lines.sparkSession
-    said = [(i, k, p) for i, s in enumerate(selectors) for k, p in enumerate([s.get("anchor"), *s.get("anchor_alts", ())]) if p]
-    if not said:
+    hits = anchor_hits(F.col("words"), selectors)
+    if hits is None:
         return lines.select("document_id", F.lit(0).alias("sel"), F.lit(0).alias("alt"), "page_number", "line_idx", F.lit(1).alias("start"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("hits")).limit(0)
-    phrases = spark.createDataFrame([(f"{i}:{k}", p) for i, k, p in said], "anchor_id string, phrase string")
-    longest = max(len(p.split()) for _, _, p in said)
-    hits = geometry.find_anchors(lines, phrases, longest)
-    part = F.split("anchor_id", ":")
-    hits = hits.select("document_id", part[0].cast("int").alias("sel"), part[1].cast("int").alias("alt"), "page_number", "line_idx", "start", "n")
+    hits = lines.where(F.size("words") > 0).select("document_id", "page_number", "line_idx", F.explode(hits).alias("h")).select("document_id", "page_number", "line_idx", "h.*")
     last = F.col("sel").isin([i for i, s in enumerate(selectors) if s.get("anchor_occurrence") == "last"] or [-1])
     place = F.struct("page_number", "line_idx", "start", "n")
     found = hits.groupBy("document_id", "sel", "alt").agg(F.min(place).alias("first"), F.max(place).alias("final"), F.count("*").alias("hits"))
@@ -65,41 +75,64 @@ def fields(lines: DataFrame, selectors: Sequence[Mapping]) -> DataFrame:
     anchor_occurrence, capture`` (``all_matches``: values joined by a line feed)
     and ``adjust``.  The anchor's own words are no candidates.
     """
-    at = pick_anchors(lines, selectors)
-    pages = lines.groupBy("document_id").agg(F.max("page_number").alias("pages"), F.max("y0").alias("bottom"))
-    head = lines.select("document_id", "page_number", "line_idx", F.col("y0").alias("anchor_y"), F.col("words").alias("anchor_words"))
-    at = at.join(head, ["document_id", "page_number", "line_idx"]).withColumn("anchor_x", F.element_at("anchor_words", F.col("start"))["x0"]).drop("anchor_words")
-    at = at.select("document_id", "sel", "alt", "hits", F.col("page_number").alias("anchor_page"), F.col("line_idx").alias("anchor_line"), "start", "n", "anchor_x", "anchor_y")
-    out = []
+    rows = lines.where("document_id is not null").select("document_id", "page_number", "line_idx", "y0", "words")
+    whole = Window.partitionBy("document_id")
+    hits = anchor_hits(F.col("words"), selectors)
+    rows = rows.withColumn("hits", F.when(F.size("words") > 0, hits) if hits is not None else F.lit(None).cast("array<struct<sel:int,alt:int,start:int,n:int>>"))
+    over = {"pages": F.max("page_number").over(whole), "bottom": F.max("y0").over(whole)}
     for i, s in enumerate(selectors):
-        region, anchor = s.get("region", WIDE), s.get("anchor")
-        mine = lines.join(pages, "document_id")
-        if anchor:
-            mine = mine.join(at.where(F.col("sel") == i), "document_id")
-            if region in ANCHORED:
-                mine = mine.where(F.col("page_number") == F.col("anchor_page"))
-        else:
-            mine = mine.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("alt", "int"), ("hits", "long"), ("anchor_page", "int"), ("anchor_line", "int"), ("start", "int"), ("n", "int"), ("anchor_x", "double"), ("anchor_y", "double"))))
+        if s.get("anchor"):
+            last = s.get("anchor_occurrence") == "last"  # the first phrase that occurs, then the first or last place
+            mine = F.filter("hits", lambda h: h["sel"] == i)  # noqa: B023
+            spots = F.transform(mine, lambda h: F.struct((-h["alt"] if last else h["alt"]).alias("rank"), F.col("page_number").alias("page"), F.col("line_idx").alias("line"), h["start"].alias("start"), h["n"].alias("n"), F.try_element_at("words", h["start"])["x0"].alias("x"), F.col("y0").alias("y")))  # noqa: B023
+            over[f"at{i}"] = (F.max(F.array_max(spots)) if last else F.min(F.array_min(spots))).over(whole)
+            if s.get("region", WIDE) == WIDE:
+                count = lambda k: F.sum(F.size(F.filter(mine, lambda h: h["alt"] == k))).over(whole)  # noqa: B023, E731
+                over[f"times{i}"] = F.array(*map(count, range(1 + len(s.get("anchor_alts", ())))))
+    rows = rows.withColumns(over)
+    left, alts = {}, {}
+    for i, s in enumerate(selectors):
+        region, anchor, at = s.get("region", WIDE), s.get("anchor"), F.col(f"at{i}")
         none = F.lit(None).cast("double")
         page = {
             "page": F.col("page_number"), "pages": F.col("pages"), "height": F.col("bottom") + 12.0, "width": F.lit(612.0), "detach_y": none, "totals_y": none,
-            "anchor_x": F.col("anchor_x"), "anchor_y": F.col("anchor_y"), "pitch": none, "tolerance": F.lit(geometry.TOLERANCE),
+            "anchor_x": at["x"] if anchor else none, "anchor_y": at["y"] if anchor else none, "pitch": none, "tolerance": F.lit(geometry.TOLERANCE),
         }
-        own = (F.col("page_number") == F.col("anchor_page")) & (F.col("line_idx") == F.col("anchor_line"))
-        keep = F.filter("words", lambda w, k: F.coalesce(geometry.in_region(region, {"x0": w["x0"], "y0": F.col("y0")}, page), F.lit(False)) & ~F.coalesce(own & (k + 1 >= F.col("start")) & (k + 1 < F.col("start") + F.col("n")), F.lit(False)))  # noqa: B023
-        tried = mine.withColumn("left", keep).where(F.size("left") > 0)
-        parsed = F.filter(F.transform(candidates(F.col("left")), lambda t: _parse(t, s["pattern"])), lambda v: v.isNotNull())  # noqa: B023
-        got = tried.select("document_id", "page_number", "line_idx", "alt", "hits", parsed.alias("found")).where(F.size("found") > 0)
-        order = F.struct("page_number", "line_idx")
+        inside = lambda w: F.coalesce(geometry.in_region(region, {"x0": w["x0"], "y0": F.col("y0")}, page), F.lit(False))  # noqa: B023, E731
+        if not anchor:
+            left[f"left{i}"] = F.filter("words", inside)
+            continue
+        own = (F.col("page_number") == at["page"]) & (F.col("line_idx") == at["line"])
+        free = lambda k: ~F.coalesce(own & (k + 1 >= at["start"]) & (k + 1 < at["start"] + at["n"]), F.lit(False))  # noqa: B023, E731
+        near = at.isNotNull() & (F.col("page_number") == at["page"]) if region in ANCHORED else at.isNotNull()
+        left[f"left{i}"] = F.when(near, F.filter("words", lambda w, k: inside(w) & free(k)))  # noqa: B023
+        alts[f"alt{i}"] = F.abs(at["rank"])
+    rows = rows.withColumns(left).withColumns(alts)
+    parse = lambda s: lambda t: _parse(t, s["pattern"])
+    got = {f"got{i}": F.when(F.size(f"left{i}") > 0, F.try_element_at(F.filter(F.transform(candidates(F.col(f"left{i}")), parse(s)), lambda v: v.isNotNull()), F.lit(1))) for i, s in enumerate(selectors)}
+    rows = rows.withColumns(got)
+    values_of, out = [], []
+    for i, s in enumerate(selectors):
+        hit, v = F.col(f"got{i}").isNotNull(), F.col(f"got{i}")
         if s.get("capture") == "all_matches":
-            rows = F.sort_array(F.collect_list(F.struct("page_number", "line_idx", F.element_at("found", 1).alias("v"))))
-            first = got.groupBy("document_id", "alt", "hits").agg(F.array_join(F.transform(rows, lambda r: r["v"]), "\n").alias("value"))
+            values_of.append(F.sort_array(F.collect_list(F.when(hit, F.struct("page_number", "line_idx", v.alias("v"))))).alias(f"got{i}"))
+            value = F.when(F.size(f"got{i}") > 0, F.array_join(F.transform(f"got{i}", lambda r: r["v"]), "\n"))
         else:
-            first = got.groupBy("document_id", "alt", "hits").agg(F.min_by(F.element_at("found", 1), order).alias("value"))
-        quality = F.when(F.col("alt") > 0, MATCH_QUALITY["alternate"]).otherwise(MATCH_QUALITY["anchored"] if anchor else MATCH_QUALITY["region"])
-        marks = F.filter(F.array(F.when(F.col("alt") > 0, "anchor_alt_used"), F.when((F.col("hits") > 1) & F.lit(region == WIDE), "ambiguous_anchor")), lambda m: m.isNotNull())
-        out.append(first.select("document_id", F.lit(s["field"]).alias("field"), values.apply_ops(F.col("value"), s.get("adjust", ())).alias("value"), quality.cast("decimal(4,2)").alias("quality"), marks.alias("modifiers")))
-    return reduce(DataFrame.unionByName, out)
+            values_of.append(F.min_by(v, F.when(hit, F.struct("page_number", "line_idx"))).alias(f"got{i}"))
+            value = v
+        alt, times = F.lit(None).cast("int"), F.lit(None).cast("long")
+        if s.get("anchor"):
+            values_of.append(F.max(f"alt{i}").alias(f"alt{i}"))  # the same in all rows of a document
+            alt = F.col(f"alt{i}")
+            if f"times{i}" in over:
+                values_of.append(F.max(F.try_element_at(f"times{i}", alt + 1)).alias(f"times{i}"))
+                times = F.col(f"times{i}")
+        quality = F.when(alt > 0, MATCH_QUALITY["alternate"]).otherwise(MATCH_QUALITY["anchored"] if s.get("anchor") else MATCH_QUALITY["region"])
+        marks = F.filter(F.array(F.when(alt > 0, "anchor_alt_used"), F.when(times > 1, "ambiguous_anchor")), lambda m: m.isNotNull())
+        row = F.struct(F.lit(s["field"]).alias("field"), values.apply_ops(value, s.get("adjust", ())).alias("value"), quality.cast("decimal(4,2)").alias("quality"), marks.alias("modifiers"))
+        out.append(F.when(value.isNotNull(), row))
+    found = rows.groupBy("document_id").agg(*values_of)
+    return found.select("document_id", F.explode(F.array_compact(F.array(*out))).alias("f")).select("document_id", "f.*")
 
 
 def is_rollup(text: Column) -> Column:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LINE_TYPE = "array<struct<head:double,words:array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>>>"
 #: Sizes in points (fixed values).
 TOLERANCE, LEAST_TOLERANCE, PITCH_SHARE = 3.0, 2.5, 0.4
 CELL_GAP, GUTTER = 12.0, 24
@@ -18,6 +17,11 @@ NEAR_LEFT, NEAR_RIGHT, NEAR_DOWN = 12.0, 300.0, 40.0
 TOTALS_LEAD, TOTALS_BAND = 2.0, 80.0
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def group_lines(words: Column, tolerance: Column | float = TOLERANCE) -> Column:
     """Visual lines: words in (y, x) order; a word joins the line whose *first* word is within the tolerance.
 
@@ -25,18 +29,20 @@ def group_lines(words: Column, tolerance: Column | float = TOLERANCE) -> Column:
     baselines from chaining into one line.
     """
     tol = F.lit(tolerance) if not isinstance(tolerance, Column) else tolerance
-    keyed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.y0.alias("y0"), w.x0.alias("x0"), i.alias("i"), w.alias("w"))))
+    keyed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.y0.alias("y0"), w.x0.alias("x0"), i.alias("i"), w.alias("w"))))
+    by_x = lambda ws: F.transform(F.sort_array(F.transform(ws, lambda k, i: F.struct(k["x0"].alias("x0"), i.alias("i"), k["w"].alias("w")))), lambda s: s.w)
 
     def step(acc: Column, k: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = F.abs(last["head"] - k.y0) <= tol
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["head"].alias("head"), F.concat(last["words"], F.array(k.w)).alias("words"))))
-        fresh = F.concat(acc, F.array(F.struct(k.y0.alias("head"), F.array(k.w).alias("words"))))
-        return F.when(F.coalesce(joins, F.lit(False)), grown).otherwise(fresh).cast(LINE_TYPE)
+        """Only where lines begin is kept, so a long page is not copied for each of its words."""
+        joins = F.abs(F.try_element_at(acc, F.lit(-1))["head"] - k["y0"]) <= tol
+        return F.when(F.coalesce(joins, F.lit(False)), acc).otherwise(F.concat(acc, F.array(F.struct(k["at"].alias("at"), k["y0"].alias("head")))))
 
-    by_x = lambda ws: F.transform(F.array_sort(F.transform(ws, lambda w, i: F.struct(w.x0.alias("x0"), i.alias("i"), w.alias("w")))), lambda s: s.w)
-    lines = F.aggregate(keyed, F.array().cast(LINE_TYPE), step)
-    return F.transform(lines, lambda x: F.struct(x["head"].alias("y0"), by_x(x["words"]).alias("words")))
+    def cut(ks: Column) -> Column:
+        starts = F.aggregate(F.transform(ks, lambda k, j: F.struct((j + 1).alias("at"), k["y0"].alias("y0"))), F.array().cast("array<struct<at:int,head:double>>"), step)
+        size = lambda all_, s, j: F.coalesce(F.try_element_at(all_, j + 2)["at"], F.size(ks) + 1) - s["at"]
+        return let(starts, lambda all_: F.transform(all_, lambda s, j: F.struct(s["head"].alias("y0"), by_x(F.slice(ks, s["at"], size(all_, s, j))).alias("words"))))
+
+    return let(keyed, cut)
 
 
 def line_text(words: Column) -> Column:
@@ -50,10 +56,11 @@ def lines(pages: DataFrame) -> DataFrame:
 
 
 def _median(xs: Column) -> Column:
-    s, n = F.array_sort(xs), F.size(xs)
-    low = F.try_element_at(s, F.floor((n + 1) / 2).cast("int"))
-    high = F.try_element_at(s, F.floor((n + 2) / 2).cast("int"))
-    return F.when(n > 0, (low + high) / 2)
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        return F.when(n > 0, (F.try_element_at(s, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(s, F.floor((n + 2) / 2).cast("int"))) / 2)
+
+    return let(F.array_sort(xs), middle)
 
 
 def median_pitch(baselines: Column) -> Column:
@@ -157,25 +164,30 @@ def label_block(lines_: Column, anchor_y: Column, *, reach: float = 140.0, blank
     return F.aggregate(F.filter(lines_, lambda x: x["y0"] > anchor_y), start, step, lambda acc: acc["out"])
 
 
+def anchor_key(text: Column) -> Column:
+    """A phrase as it is compared: without case, with single spaces, without a trailing colon."""
+    return _folded(F.regexp_replace(text, r"\s+", " "))
+
+
+def _folded(text: Column) -> Column:
+    return let(F.lower(F.trim(text)), lambda t: F.when(t.contains(":"), F.regexp_replace(t, r"\s*:+$", "")).otherwise(t))
+
+
+def anchor_runs(words: Column, longest: int) -> Column:
+    """``array<struct(start, n, key)>``: all runs of at most ``longest`` words of a line, folded for comparison."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
+    text = lambda s, n: F.array_join(F.transform(F.slice(words, s, n), lambda w: w["text"]), " ")
+    run = lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - s + 1)), lambda n: F.struct(s.alias("start"), n.alias("n"), _folded(text(s, n)).alias("key")))
+    return F.flatten(F.transform(starts, run))
+
+
 def find_anchors(lines_: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
     """Anchor hits: contiguous word runs of a line equal to a phrase.
 
     Comparison ignores case and a trailing colon.  ``phrases(anchor_id, phrase)``
     is a dimension of declared anchors; runs are bounded by the longest phrase.
     """
-    norm = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\s*:+$", "")
-    starts = F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)))
-    runs = F.flatten(
-        F.transform(
-            starts,
-            lambda s: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - s + 1)),
-                lambda n: F.struct(s.alias("start"), n.alias("n"), F.array_join(F.transform(F.slice("words", s, n), lambda w: w["text"]), " ").alias("run")),
-            ),
-        )
-    )
-    hits = lines_.where(F.size("words") > 0).select("document_id", "page_number", "line_idx", F.explode(runs).alias("r"))
-    hits = hits.select("document_id", "page_number", "line_idx", "r.start", "r.n", norm(F.col("r.run")).alias("key"))
-    dim = phrases.select("anchor_id", norm(F.regexp_replace("phrase", r"\s+", " ")).alias("key"))
-    found = hits.join(dim, "key")
+    hits = lines_.where(F.size("words") > 0).select("document_id", "page_number", "line_idx", F.explode(anchor_runs(F.col("words"), longest)).alias("r"))
+    hits = hits.select("document_id", "page_number", "line_idx", "r.start", "r.n", "r.key")
+    found = hits.join(phrases.select("anchor_id", anchor_key(F.col("phrase")).alias("key")), "key")
     return found.groupBy("document_id", "page_number", "line_idx", "start", "anchor_id").agg(F.min("n").alias("n"))

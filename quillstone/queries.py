@@ -771,6 +771,11 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- selector execution and records
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by document, before pages are made of them: pages are much larger, and nothing downstream shuffles again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _order_pages(spark: SparkSession, d: str) -> DataFrame:
     """Orders as printed pages: a number, a date, an amount under one of two labels, a payment slip's digits."""
     k = F.col("o_orderkey")
@@ -781,7 +786,7 @@ def _order_pages(spark: SparkSession, d: str) -> DataFrame:
     words += [put(20, 30, lit("Order")), put(56, 30, lit("Date")), put(120, 30, F.date_format("o_orderdate", "M/d/yyyy"))]
     words += [put(20, 50, F.when(k % 3 == 0, "Balance").otherwise("Amount")), put(68, 50, F.when(k % 3 == 0, "Outstanding").otherwise("Due")), put(200, 50, amount)]
     words += [put(20, 90, F.lpad(F.col("o_custkey").cast("string"), 20, "0")), put(200, 90, lit("slip")), put(260, 90, k.cast("string"))]
-    o = _t(spark, d, "orders").select(k.alias("document_id"), F.lit(1).alias("page_number"), F.array(*words).alias("words"), F.lit(3.0).alias("line_tolerance"))
+    o = _dealt(_t(spark, d, "orders"), "o_orderkey").select(k.alias("document_id"), F.lit(1).alias("page_number"), F.array(*words).alias("words"), F.lit(3.0).alias("line_tolerance"))
     return geometry.lines(o)
 
 

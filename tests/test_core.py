@@ -1,5 +1,7 @@
 """Core operators against DuckDB and small synthetic pages."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +176,36 @@ def test_restricted_patterns_know_classes_and_groups():
     for bad in ("(?:a{1,2}){3}", "a{2,}", "a?+", "(?>a)", "(?P<x>a)(?P=x)", "((?:a?)b){2}", ""):
         with pytest.raises(patterns.PatternError):
             patterns.compile_restricted(bad)
+
+
+@pytest.mark.parametrize("name", ["executor_fields"])
+def test_executor_reads_and_shuffles_pages_once(spark, name):
+    plan = core.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and len(re.findall(r"\bExchange ", plan)) == 1 and "Join" not in plan
+
+
+def test_fields_over_pages(spark):
+    from quillstone.operators import executor
+
+    word = lambda t, x, y: (t, float(x), float(y), float(x + 6 * len(t)), float(y + 10))
+    pages = [
+        (1, 1, [word("Due:", 20, 10), word("5.00", 80, 10), word("x", 20, 30), word("1.00", 80, 30)], 3.0),
+        (1, 2, [word("Due", 20, 10), word("7.00", 80, 10), word("2.00", 20, 30)], 3.0),
+        (2, 1, [word("Owing", 20, 10), word("Due", 80, 10), word("3.00", 140, 10)], 3.0),
+        (3, 1, [word("nothing", 20, 10)], 3.0),
+        (None, 1, [word("Due", 20, 10), word("9.00", 80, 10)], 3.0),
+    ]
+    lines = geometry.lines(spark.createDataFrame(pages, f"document_id int, page_number int, words {readers.WORD_TYPE}, line_tolerance double"))
+    selectors = [
+        {"field": "first", "anchor": "Due", "pattern": "currency", "region": "same-row"},
+        {"field": "last", "anchor": "due", "anchor_occurrence": "last", "pattern": "currency", "region": "same-row"},
+        {"field": "wide", "anchor": "Nowhere", "anchor_alts": ["Owing Due", "Due"], "pattern": "currency"},
+        {"field": "all", "pattern": "currency", "capture": "all_matches"},
+    ]
+    got = {(r.document_id, r.field): (r.value, float(r.quality), r.modifiers) for r in executor.fields(lines, selectors).collect()}
+    alt, one, bare = executor.MATCH_QUALITY["alternate"], executor.MATCH_QUALITY["anchored"], executor.MATCH_QUALITY["region"]
+    assert got == {
+        (1, "first"): ("5.0000", float(one), []), (1, "last"): ("7.0000", float(one), []), (1, "wide"): ("5.0000", float(alt), ["anchor_alt_used", "ambiguous_anchor"]),
+        (1, "all"): ("5.0000\n1.0000\n7.0000\n2.0000", float(bare), []),
+        (2, "first"): ("3.0000", float(one), []), (2, "last"): ("3.0000", float(one), []), (2, "wide"): ("3.0000", float(alt), ["anchor_alt_used"]), (2, "all"): ("3.0000", float(bare), []),
+    }
