@@ -137,8 +137,7 @@ def fields(lines: DataFrame, selectors: Sequence[Mapping]) -> DataFrame:
 
 def is_rollup(text: Column) -> Column:
     """Whether a line's normalised text begins with a summary label."""
-    t = values.normalize_name(text)
-    return reduce(or_, [(t == k) | t.startswith(f"{k} ") for k in ROLLUP])
+    return values.normalize_name(text).rlike(f"^(?:{'|'.join(ROLLUP)})(?: |$)")
 
 
 def column_bounds(header: Column, names: Sequence[str]) -> Column:
@@ -164,27 +163,34 @@ def row_groups(lines: DataFrame, group: Mapping) -> DataFrame:
     at a summary label, at a gap above ``max(24, 2.5 x median pitch so far)``, or
     at a subtotal: an amount equal to the sum of at least two rows before.
     """
-    at = pick_anchors(lines, [{"anchor": group["table_anchor"]}]).select("document_id", "page_number", F.col("line_idx").alias("top"))
     printed = list(group["column_headers"].values())
-    head = lines.join(at, ["document_id", "page_number"]).where("line_idx = top").select("document_id", "page_number", "top", F.col("y0").alias("head_y"), column_bounds(F.col("words"), printed).alias("bounds"))
-    below = lines.join(head, ["document_id", "page_number"]).where("line_idx > top").withColumn("rollup", is_rollup(F.col("text")))
+    rows = lines.where("document_id is not null").select("document_id", "page_number", "line_idx", "y0", "text", "words")
+    hit = F.size("words") > 0, F.size(anchor_hits(F.col("words"), [{"anchor": group["table_anchor"]}])) > 0
+    head = F.when(hit[0] & hit[1], F.struct("page_number", F.col("line_idx").alias("top"), F.col("y0").alias("head_y"), column_bounds(F.col("words"), printed).alias("bounds")))
     body = Window.partitionBy("document_id").orderBy("line_idx")
+    whole = body.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("head", head).withColumn("head", F.min("head").over(whole))
+    below = rows.where((F.col("page_number") == F.col("head.page_number")) & (F.col("line_idx") > F.col("head.top"))).select("*", "head.head_y", "head.bounds").drop("head")
     so_far = F.collect_list("y0").over(body.rowsBetween(Window.unboundedPreceding, -1))
     gap = F.col("y0") - F.coalesce(F.lag("y0").over(body), F.col("head_y"))
-    pitch = geometry.median_pitch(F.concat(F.array("head_y"), so_far))
-    far = pitch.isNotNull() & (gap > F.greatest(F.lit(TABLE_FLOOR), pitch * TABLE_GAP))
+    below = below.withColumns({"rollup": is_rollup(F.col("text")), "so_far": so_far, "gap": gap})
+    # null below two lines: then nothing is far
+    far = (F.col("gap") > TABLE_FLOOR) & (F.col("gap") > geometry.median_pitch(F.concat(F.array("head_y"), F.col("so_far"))) * TABLE_GAP)
     below = below.withColumn("stop", F.max((F.col("rollup") | F.coalesce(far, F.lit(False))).cast("int")).over(body)).where("stop = 0")
     middle = lambda w: (w["x0"] + w["x1"]) / 2
     inside = lambda b: F.array_join(F.transform(F.filter("words", lambda w: (middle(w) >= b["lo"]) & (middle(w) < b["hi"])), lambda w: w["text"]), " ")
     by_name = F.map_from_entries(F.transform("bounds", lambda b: F.struct(b["name"].alias("key"), inside(b).alias("value"))))
-    below = below.withColumn("raw", by_name)
+    below = below.select("document_id", "line_idx", F.explode(F.array(by_name)).alias("raw"))  # filters above an explode do not repeat what is below
     text = lambda c: F.try_element_at("raw", F.lit(group["column_headers"][c]))
-    parsed = {c: _parse(F.when(text(c) != "", text(c)), p) for c, p in group["columns"].items()}
-    cells = F.map_filter(F.create_map(*(x for c, v in parsed.items() for x in (F.lit(c), v))), lambda k, v: v.isNotNull())
-    rows = below.select("document_id", "line_idx", cells.alias("cells")).where(F.size("cells") > 0)
+    parsed = F.struct(*(_parse(F.when(text(c) != "", text(c)), p).alias(f"c{i}") for i, (c, p) in enumerate(group["columns"].items())))
+    rows = below.select("document_id", "line_idx", F.explode(F.array(parsed)).alias("v"))
+    value = {c: F.col(f"v.c{i}") for i, c in enumerate(group["columns"])}
+    rows = rows.where(reduce(or_, [v.isNotNull() for v in value.values()]))
     money = [c for c, p in group["columns"].items() if p in ("currency", "currency_signed")]
     if group.get("require_amount") and money:
-        rows = rows.where(F.size(F.array_intersect(F.map_keys("cells"), F.array(*map(F.lit, money)))) > 0)
+        rows = rows.where(reduce(or_, [value[c].isNotNull() for c in money]))
+    cells = F.map_filter(F.create_map(*(x for c, v in value.items() for x in (F.lit(c), v))), lambda k, v: v.isNotNull())
+    rows = rows.select("document_id", "line_idx", cells.alias("cells"))
     if group.get("stop_at_subtotal"):
         from quillstone.operators import analytics
 

@@ -820,16 +820,21 @@ SELECT l_orderkey AS document_id, row_number() OVER (PARTITION BY l_orderkey ORD
 """)
 def executor_row_groups(spark: SparkSession, d: str) -> DataFrame:
     """Orders as tables with a header, an empty cell in every fourth row, and a total and a remark below."""
-    at = lambda t, x: F.struct(t.alias("text"), F.lit(float(x)).alias("x0"), F.col("y").alias("y0"), (F.lit(float(x)) + 6 * F.length(t)).alias("x1"), (F.col("y") + 10).alias("y1"))
-    li = _t(spark, d, "lineitem").withColumn("at", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
-    li = li.withColumn("y", F.col("at") * 14.0 + 20)
-    cell = F.array(at(F.col("l_partkey").cast("string"), 20), at(F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity").cast("long").cast("string")), 200), at(F.format_number("l_extendedprice", 2), 300))
-    rows = li.select(F.col("l_orderkey").alias("document_id"), F.filter(cell, lambda w: w["text"].isNotNull()).alias("w"))
-    ends = li.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.max("y").alias("bottom"), F.sum(F.col("l_extendedprice").cast(MONEY)).alias("s"))
-    top = ends.withColumn("y", F.lit(20.0)).select("document_id", F.array(at(F.lit("Item"), 20), at(F.lit("Qty"), 200), at(F.lit("Amount"), 300)).alias("w"))
-    total = ends.withColumn("y", F.col("bottom") + 14).select("document_id", F.array(at(F.lit("Total"), 20), at(F.format_number("s", 2), 300)).alias("w"))
-    words = rows.unionByName(top).unionByName(total).groupBy("document_id").agg(F.flatten(F.collect_list("w")).alias("words"))
-    lines = geometry.lines(words.select("document_id", F.lit(1).alias("page_number"), "words", F.lit(3.0).alias("line_tolerance")))
+    at = lambda t, x, y: F.struct(t.alias("text"), F.lit(float(x)).alias("x0"), y.alias("y0"), (F.lit(float(x)) + 6 * F.length(t)).alias("x1"), (y + 10).alias("y1"))
+    li = _dealt(_t(spark, d, "lineitem"), "l_orderkey")
+    each = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    li = li.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.sort_array(F.collect_list(each)).alias("items"), F.sum(F.col("l_extendedprice").cast(MONEY)).alias("s"))
+
+    def printed(r: Column, i: Column) -> Column:
+        y = (i + 1) * 14.0 + 20
+        words = F.array(at(r["l_partkey"].cast("string"), 20, y), at(F.when(r["l_linenumber"] % 4 != 0, r["l_quantity"].cast("long").cast("string")), 200, y), at(F.format_number(r["l_extendedprice"], 2), 300, y))
+        return F.filter(words, lambda w: w["text"].isNotNull())
+
+    top, bottom = F.lit(20.0), (F.size("items") + 1) * 14.0 + 20
+    head = F.array(at(F.lit("Item"), 20, top), at(F.lit("Qty"), 200, top), at(F.lit("Amount"), 300, top))
+    total = F.array(at(F.lit("Total"), 20, bottom), at(F.format_number("s", 2), 300, bottom))
+    words = F.concat(head, F.flatten(F.transform("items", printed)), total)
+    lines = geometry.lines(li.select("document_id", F.lit(1).alias("page_number"), words.alias("words"), F.lit(3.0).alias("line_tolerance")))
     got = executor.row_groups(lines, {"table_anchor": "Item", "column_headers": {"item": "Item", "qty": "Qty", "amount": "Amount"}, "columns": {"item": "text", "qty": "integer", "amount": "currency"}, "require_amount": True})
     cells = F.col("cells")
     return got.select("document_id", F.col("row").cast("long").alias("row"), *(F.try_element_at(cells, F.lit(c)).alias(c) for c in ("item", "qty", "amount")))

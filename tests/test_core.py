@@ -178,7 +178,7 @@ def test_restricted_patterns_know_classes_and_groups():
             patterns.compile_restricted(bad)
 
 
-@pytest.mark.parametrize("name", ["executor_fields"])
+@pytest.mark.parametrize("name", ["executor_fields", "executor_row_groups"])
 def test_executor_reads_and_shuffles_pages_once(spark, name):
     plan = core.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and len(re.findall(r"\bExchange ", plan)) == 1 and "Join" not in plan
