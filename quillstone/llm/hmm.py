@@ -186,16 +186,38 @@ class Lexicon:
 def _coded(chunks: DataFrame, counts: DataFrame, lex: Lexicon) -> DataFrame:
     # a chunk is some tens of MB: two to a task, however many there are
     tasks = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // 2))
-    per = counts.repartition(tasks, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("got"))  # a chunk's distinct words
+    schema = pa.schema([("chunk", pa.int64()), ("got", pa.binary())])
+
+    def packed(chunk: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+        c = np.concatenate(parts)
+        return to_batch(schema, chunk=[chunk], got=[c.astype("<u4" if c.max() < 1 << 32 else "<i8").tobytes()])
+
+    def pack(batches):
+        """The counts of a chunk's words, in their order, as one string: as rows of a list they would be millions of objects of the JVM."""
+        now, held = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            chunk, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edge = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for lo, hi in zip(edge, edge[1:]):
+                if held and chunk[lo] != now:
+                    yield packed(now, held)
+                    held = []
+                now = int(chunk[lo])
+                held.append(c[lo:hi])
+        if held:
+            yield packed(now, held)
+
+    # every word of a chunk has its total, so positions are without gaps
+    per = counts.repartition(tasks, "chunk").sortWithinPartitions("chunk", "pos").select("chunk", "c").mapInArrow(pack, "chunk long, got binary")
     joined = chunks.select("chunk", "doc_id", "held_out", "n", "toks", "words").repartition(tasks, "chunk").join(per, "chunk")
 
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
-                words = np.frombuffer(b.column(5)[r].as_py(), "<i8")
-                got = b.column(6)[r].values
-                c = np.zeros(len(words), np.int64)
-                c[got.field(0).to_numpy()] = got.field(1).to_numpy()
+                words, raw = np.frombuffer(b.column(5)[r].as_py(), "<i8"), b.column(6)[r].as_py()
+                c = np.frombuffer(raw, "<u4" if len(raw) == 4 * len(words) else "<i8").astype(np.int64)
                 sym, base, tied = lex.code(words, c)
                 toks = np.frombuffer(b.column(4)[r].as_py(), "<u4")
                 n = b.column(3)[r].as_py()
