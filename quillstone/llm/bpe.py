@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillstone.llm.common import slices, spread, to_batch
+from quillstone.llm.common import slices, spread, to_batch, trim
 
 #: Pre-token pattern of byte-level BPE (fixed value, published with the vocabulary);
 #: {L}, {N} and {Z} stand for letters, digits and white space.
@@ -48,6 +48,8 @@ PLAIN_BELOW = 0x558
 CACHE_PIECES = 200_000
 CACHE_PAIRS = 500_000
 LONG_PIECE = 64
+#: Bytes of text that are cut into pieces at a time; the pieces take some twelve times that.
+SLICE_BYTES = 2 << 20
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -433,6 +435,7 @@ def tokenizer(path: str):
         yield _LOADED[path]
     finally:
         _LOADED[path].pieces.clear()
+        trim()
 
 
 def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -444,7 +447,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
 
     def run(batches):
         with tokenizer(path) as t:
-            for s in slices(batches, [id_col, text_col]):
+            for s in slices(batches, [id_col, text_col], SLICE_BYTES):
                 ids = t.encode_many(s[text_col])
                 yield to_batch(schema, doc_id=s[id_col], n_tokens=[len(x) for x in ids], ids=ids, decoded_sha256=[text_digest(t, x) for x in ids])
 
@@ -487,7 +490,7 @@ def round_trip_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", te
 
     def run(batches):
         with tokenizer(path) as t:
-            for s in slices(batches, [id_col, text_col]):
+            for s in slices(batches, [id_col, text_col], SLICE_BYTES):
                 n, a, b = [], [], []
                 for ids in t.encode_many(s[text_col]):
                     n.append(len(ids))

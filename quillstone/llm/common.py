@@ -8,6 +8,8 @@ unless Spark itself runs on one machine.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -113,6 +115,14 @@ def slices(batches, columns: list[str], max_bytes: int = 8 << 20, max_rows: int
             part = batch.slice(at, to - at)
             yield {c: part.column(part.schema.get_field_index(c)).to_pylist() for c in columns}
             at = to
+    trim()
+
+
+def trim() -> None:
+    """Give what a worker has freed back to the system: idle workers share an executor's memory with those of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def to_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:

@@ -42,8 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.bpe import PLAIN_BELOW, _ranges
-from quillstone.llm.common import Scratch, slices, spread, to_batch
+from quillstone.llm.bpe import PLAIN_BELOW, SLICE_BYTES, _ranges
+from quillstone.llm.common import Scratch, slices, spread, to_batch, trim
 
 MAGIC = b"QPF1"
 BLOCK = 1024
@@ -220,6 +220,13 @@ def _words(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
+def forget() -> None:
+    """Drop a worker's tokenizers and their caches, which the stages after the encoding do not need."""
+    if _LOADED:
+        _LOADED.clear()
+        trim()
+
+
 # ---------------------------------------------------------------- Spark
 
 
@@ -254,7 +261,7 @@ def encode(docs: DataFrame, tokenizer_path: str, bounds: np.ndarray, end_id: int
     def run(batches):
         w = _words(tokenizer_path)
         width = "<u2" if max(w.largest, end_id) < 1 << 16 else "<u4"
-        for s in slices(batches, ["doc_id", "text"]):
+        for s in slices(batches, ["doc_id", "text"], SLICE_BYTES):
             ids = [np.frombuffer(x + tail, "<u4") for x in w.encode_many(s["text"])]
             part = [0 if d is None else int(np.searchsorted(bounds, d, "right")) for d in s["doc_id"]]
             yield to_batch(schema, part=part, doc_id=s["doc_id"], n=[len(x) for x in ids], ids=[x.astype(width).tobytes() for x in ids])
@@ -277,6 +284,7 @@ def write_files(encoded: DataFrame, folder: str, parts: int) -> None:
     schema = pa.schema([("file", pa.binary())])
 
     def run(batches):
+        forget()
         now, seq, held, keys, rows = None, 0, 0, [], []
         for s in slices(batches, ["part", "doc_id", "n", "ids"]):
             for p, d, n, raw in zip(s["part"], s["doc_id"], s["n"], s["ids"]):
@@ -299,6 +307,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("file_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
+        forget()
         for batch in batches:
             for raw in batch.column(0):
                 f = TokenFile(raw.as_py())

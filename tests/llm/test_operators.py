@@ -1,6 +1,7 @@
 """Training-data operators against brute force, on small and awkward tables."""
 
 import hashlib
+import os
 import zlib
 
 import duckdb
@@ -464,3 +465,39 @@ def test_forest_finds_all_links_of_a_wide_group(spark):
     want = (x @ x.T >= 0.9).sum(axis=1) - 1
     got = {r.vec_id: r.n_links for r in forest.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
     assert sum(want) and all(got[i] == n for i, n in enumerate(want)), sum(got.values()) / sum(want)
+
+
+def test_workers_drop_the_word_cache_after_encoding(spark):
+    """The stages after the encoding run in the same workers, whose memory the cache would keep."""
+    pfor.file_digests(spark.read.parquet(f"{SF}/documents.parquet"), queries.tokenizer_path(queries.WORD_TOKENIZER)).count()
+
+    def held(batches):
+        import pandas as pd
+
+        for _ in batches:
+            yield pd.DataFrame({"pid": [os.getpid()], "n": [len(pfor._LOADED)]})
+
+    seen = {r.pid: r.n for r in spark.range(0, 40, 1, 40).mapInPandas(held, "pid long, n long").collect()}
+    assert 0 in seen.values(), seen
+
+
+def test_texts_are_cut_in_small_slices():
+    import pyarrow as pa
+
+    from quillstone.llm.common import slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(["x" * (1 << 20)] * 8)], names=["doc_id", "text"])
+    assert [len(s["text"]) for s in slices([batch], ["doc_id", "text"], bpe.SLICE_BYTES)] == [1] * 8
+
+
+def test_counts_of_a_chunk_are_packed_outside_the_jvm(spark):
+    lex = hmm.Lexicon(5, 2, 0, [(1 << 8, 3), (2 << 8, 2 << 40)], {})
+    u4, i8 = (lambda *x: np.array(x, "<u4").tobytes()), (lambda *x: np.array(x, "<i8").tobytes())
+    rows = [(7, [1], [False], [3], u4(0, 1, 0), i8(1 << 8, 2 << 8), None), (9, [2], [True], [1], u4(0), i8(1 << 8), None)]
+    chunks = spark.createDataFrame(rows, "chunk long, doc_id array<long>, held_out array<boolean>, n array<long>, toks binary, words binary, counts binary")
+    counts = spark.createDataFrame([(7, 1, 2 << 40), (9, 0, 3), (7, 0, 3)], "chunk long, pos int, c long")
+    coded = hmm._coded(chunks, counts, lex)
+    assert "collect_list" not in coded._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id[0]: r for r in coded.collect()}
+    want = [np.log10((c + 0.5) / (5 + 0.5 * 3)) for c in (3, 2 << 40, 3)]
+    assert abs(got[1].base[0] - sum(want)) < 1e-9 and got[1].known == [3] and abs(got[2].base[0] - want[0]) < 1e-9
