@@ -501,3 +501,14 @@ def test_counts_of_a_chunk_are_packed_outside_the_jvm(spark):
     got = {r.doc_id[0]: r for r in coded.collect()}
     want = [np.log10((c + 0.5) / (5 + 0.5 * 3)) for c in (3, 2 << 40, 3)]
     assert abs(got[1].base[0] - sum(want)) < 1e-9 and got[1].known == [3] and abs(got[2].base[0] - want[0]) < 1e-9
+
+
+def test_samples_of_trees_are_thinned_before_the_driver(spark):
+    from quillstone.llm.common import may_be_least
+
+    h = F.xxhash64("id")
+    ids = spark.range(200_000).select("id", h.alias("h"))
+    few = ids.where(may_be_least(F.col("h"), 200_000, 1_000))
+    assert 1_000 <= few.count() <= 2_000
+    assert few.orderBy("h").limit(1_000).collect() == ids.orderBy("h").limit(1_000).collect()
+    assert ids.where(may_be_least(F.col("h"), 1_200, 1_000)).count() == 200_000
