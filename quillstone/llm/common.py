@@ -40,6 +40,23 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{_LOCAL[app]}"
 
 
+#: Spark's own switch: shuffle files are deleted at the end of the SQL execution that wrote them.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Scratch:
     """Written tables of one operator call.
 
@@ -63,10 +80,14 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{tag}"
 
-    def save(self, df: DataFrame, tag: str) -> DataFrame:
-        """Write ``df`` once and return a reader of the written table."""
+    def save(self, df: DataFrame, tag: str, *, free: bool = False) -> DataFrame:
+        """Write ``df`` once and return a reader of the written table.
+
+        ``free``: the shuffle files go when it is written, not when the driver happens to collect garbage.
+        """
         path = self.path(tag)
-        df.write.option("compression", "zstd").parquet(path)
+        with _setting(self.spark, FREE_SHUFFLES, "true") if free else contextlib.nullcontext():
+            df.write.option("compression", "zstd").parquet(path)
         self.held.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

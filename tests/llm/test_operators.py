@@ -512,3 +512,61 @@ def test_samples_of_trees_are_thinned_before_the_driver(spark):
     assert 1_000 <= few.count() <= 2_000
     assert few.orderBy("h").limit(1_000).collect() == ids.orderBy("h").limit(1_000).collect()
     assert ids.where(may_be_least(F.col("h"), 1_200, 1_000)).count() == 200_000
+
+
+def _grouped(n, dim, wide):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((n, dim))
+    x[:wide] = x[0] + 0.25 * rng.standard_normal((wide, dim))
+    return x
+
+
+def _shuffle_bytes(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(os.path.getsize(os.path.join(d, f)) for top in dirs for d, _, names in os.walk(top.getPath()) for f in names if f.startswith("shuffle_"))
+
+
+def test_forest_leaves_little_on_disk(spark, monkeypatch):
+    """The places of trees that are done must not stay, whether or not the driver collects garbage."""
+    monkeypatch.setattr(forest, "TURN_BYTES", 1, raising=False)
+    x = _grouped(9_000, 64, 500)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4).localCheckpoint()
+    before, most, save = _shuffle_bytes(spark), [0], forest.Scratch.save
+
+    def saved(self, df, tag, **how):
+        out = save(self, df, tag, **how)
+        if tag == "found":
+            most[0] = max(most[0], _shuffle_bytes(spark) - before)
+        return out
+
+    monkeypatch.setattr(forest.Scratch, "save", saved)
+    forest.near_duplicates(rows).count()
+    assert most[0] < 2 * x.nbytes, most[0] / x.nbytes
+
+
+def test_forest_in_parts_equals_brute_force(spark, monkeypatch):
+    """Turns that hold a part of a tree's blocks, and leaves that are cut into blocks."""
+    for name, value in (("LEAF", 500), ("BLOCK", 256), ("PLACES", 1.5), ("TURN_BYTES", 1)):
+        monkeypatch.setattr(forest, name, value)
+    monkeypatch.setattr(forest, "BLOCK_BYTES", 8 * 32 * 256)
+    monkeypatch.setattr(forest.grow, "__kwdefaults__", forest.grow.__kwdefaults__ | {"leaf": 500})
+    x = _grouped(2_000, 32, 600)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1_000:1_500] = x[1_000:1_500].astype(np.float32)  # some rows travel in single precision, some do not
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in forest.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert sum(want) and [got[i] for i in range(2_000)] == want.tolist()
+    assert forest.turns_of([1.0, 1.5, 7.0, 2.0], 3.0) == [(0, 2, 0, 1), (2, 3, 0, 3), (2, 3, 1, 3), (2, 3, 2, 3), (3, 4, 0, 1)]
+    assert forest.turns_of([7.0], 3.0) == [(0, 1, 0, 3), (0, 1, 1, 3), (0, 1, 2, 3)] and forest.turns_of([], 3.0) == []
+
+
+def test_placing_is_the_same_in_any_batch():
+    rng = np.random.default_rng(4)
+    x = forest.unit(rng.standard_normal((4_000, 48)))
+    trees = forest.grow(x.astype(np.float32), 4_000, 0.9, leaf=100)
+    q = forest.rounded(x)
+    row, leaf = trees.place(q, 0, len(trees))
+    for r in (0, 7, 3_999):
+        assert trees.place(q[r : r + 1], 0, len(trees))[1].tolist() == leaf[row == r].tolist()
+    assert len(trees.base) == len(trees) + 1 and leaf.max() < trees.base[-1]
