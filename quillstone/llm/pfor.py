@@ -35,14 +35,16 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.bpe import PLAIN_BELOW, SLICE_BYTES, _ranges
+from quillstone.llm.bpe import PLAIN_BELOW, SLICE_BYTES, _byte_alphabet, _ranges
 from quillstone.llm.common import Scratch, slices, spread, to_batch, trim
 
 MAGIC = b"QPF1"
@@ -141,25 +143,37 @@ class TokenFile:
 
 
 class _Words(dict):
-    """Word -> ids as little-endian u4 bytes; long words are encoded anew each time."""
+    """Word -> ids as little-endian u4 bytes; at most CACHE_PIECES words of at most CACHED_LENGTH characters (about 100 MB).
+
+    A word, as cut and folded, goes to the library's model itself, in the
+    byte-level alphabet, which spares the library's search for words and offsets.
+    """
 
     def __init__(self, lib):
         super().__init__()
-        self.lib = lib
+        self.tokenize = lib.model.tokenize
+        self.char = {b: c for c, b in _byte_alphabet().items()}
 
     def __missing__(self, word: str) -> bytes:
-        return np.array(self.lib.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        plain = word.isascii() and word.isprintable()  # these stand for themselves
+        ids = array("I", [t.id for t in self.tokenize(word if plain else "".join(map(self.char.__getitem__, word.encode("utf-8"))))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        raw = ids.tobytes()
+        if len(word) <= CACHED_LENGTH:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[word] = raw
+        return raw
 
 
 class WordTokenizer:
     """The tokenizers library behind a bounded cache of words.
 
     The file's normaliser folds case and its pre-tokenizer encodes each word on
-    its own, so a word's ids do not depend on its neighbours.  New words of a
-    slice are encoded by the library in one call, joined by spaces, and cut at
-    word-end tokens.  Texts with characters outside the plain range, or with a
-    special token's string, go to the library whole.  At most CACHE_PIECES words
-    of at most CACHED_LENGTH characters are kept (about 100 MB).
+    its own, so a word's ids do not depend on its neighbours.  Texts with
+    characters outside the plain range, or with a special token's string, go to
+    the library whole.
     """
 
     WORDS = r"[{L}]+|'(?:[stmd]|re|ve|ll)|[{N}]|[^{Z}{L}{N}]+"
@@ -173,42 +187,25 @@ class WordTokenizer:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        vocab = self.lib.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        for token, i in vocab.items():
-            self.ends[i] = token.endswith("</w>")
         self.largest = max(self.lib.get_vocab(with_added_tokens=True).values())
         by = {"L": _ranges("L"), "N": _ranges("N"), "Z": _ranges("Z", "\t\n\v\f\r\x85")}
         self.find = re.compile("".join(by.get(p, p) for p in re.split(r"\{([LNZ])\}", self.WORDS))).findall
-        # combining marks, what folds to them, and special tokens: left to the library
-        self.outside = re.compile("[İ̀-\U0010ffff]|<\\|").search
+        # combining marks, what folds to them or beyond, and special tokens: left to the library
+        folds = "".join(c for c in map(chr, range(0x300)) if max(c.lower()) >= "\u0300")
+        self.outside = re.compile(f"[{folds}\u0300-\U0010ffff]|<\\|").search
         assert PLAIN_BELOW >= 0x300
         self.cache = _Words(self.lib)
 
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words.difference(self.cache) if len(w) <= CACHED_LENGTH]
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-            new = [w for w in words if len(w) <= CACHED_LENGTH]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            ids = np.array(self.lib.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) != len(part) or (len(ids) and stop[-1] != len(ids)):
-                self.cache.update((w, np.array(self.lib.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in part)
-                continue
-            raw, start = ids.tobytes(), [0, *(4 * stop[:-1]).tolist()]
-            self.cache.update((w, raw[a:b]) for w, a, b in zip(part, start, (4 * stop).tolist()))
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text as little-endian u4 bytes, without special tokens."""
+        if not text:
+            return b""
+        if self.outside(text):
+            return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.cache.__getitem__, self.find(text.lower())))
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian u4 bytes, without special tokens."""
-        cut = [None if t and self.outside(t) else self.find(t.lower()) if t else [] for t in texts]
-        unseen: set[str] = set()
-        for c in cut:
-            unseen.update(c or ())
-        self._learn(unseen)
-        get = self.cache.__getitem__
-        return [np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        return list(map(self.encode, texts))
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -304,7 +301,16 @@ def write_files(encoded: DataFrame, folder: str, parts: int) -> None:
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """``(part, seq, doc_id, file_start, n_tokens, ids)`` of every document in the files."""
-    schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("file_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    return _read(spark, folder, pa.field("ids", pa.binary()), "ids binary", lambda ids: ids.astype("<u4").tobytes())
+
+
+def read_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`read_files` with ``ids_crc32`` in place of ``ids``, so that the ids stay in the worker that unpacks them."""
+    return _read(spark, folder, pa.field("ids_crc32", pa.int64()), "ids_crc32 long", crc32)
+
+
+def _read(spark: SparkSession, folder: str, field: pa.Field, kind: str, value) -> DataFrame:
+    schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("file_start", pa.int64()), ("n_tokens", pa.int64()), field])
 
     def run(batches):
         forget()
@@ -313,14 +319,14 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                 f = TokenFile(raw.as_py())
                 rows = []
                 for d, start, ids in f.documents():
-                    rows.append((f.part, f.seq, d, start, len(ids), ids.astype("<u4").tobytes()))
+                    rows.append((f.part, f.seq, d, start, len(ids), value(ids)))
                     if len(rows) == 512:
                         yield to_batch(schema, **dict(zip(schema.names, zip(*rows))))
                         rows = []
                 if rows:
                     yield to_batch(schema, **dict(zip(schema.names, zip(*rows))))
 
-    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(run, "part long, seq long, doc_id long, file_start long, n_tokens long, ids binary")
+    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(run, f"part long, seq long, doc_id long, file_start long, n_tokens long, {kind}")
 
 
 def with_starts(rows: DataFrame) -> DataFrame:
@@ -337,21 +343,20 @@ def with_starts(rows: DataFrame) -> DataFrame:
     return rows.join(files, ["part", "seq"]).withColumn("start", F.col("base") + F.col("file_start"))
 
 
-def token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, bytes_per_task: int = 16 << 20) -> tuple[str, DataFrame]:
+def token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, bytes_per_task: int = 16 << 20, read=read_files) -> tuple[str, DataFrame]:
     """Write token files of ``docs``; returns their folder and a reader of them."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     folder = Scratch(spark, "pfor").path("files")
     bounds = ranges_of(docs, bytes_per_task)
     write_files(encode(spread(docs), tokenizer_path, bounds, end_id), folder, len(bounds) + 1)
-    return folder, read_files(spark, folder)
+    return folder, read(spark, folder)
 
 
 def file_digests(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` as read back from the files."""
     spark = docs.sparkSession
-    _, rows = token_files(docs, tokenizer_path, end_id=end_id)
-    small = rows.select("part", "seq", "doc_id", "file_start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    _, small = token_files(docs, tokenizer_path, end_id=end_id, read=read_digests)
     small = Scratch(spark, "pfor").save(small, "digests")
     return with_starts(small).select("doc_id", "start", "n_tokens", "ids_crc32")
 

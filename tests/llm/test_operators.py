@@ -570,3 +570,34 @@ def test_placing_is_the_same_in_any_batch():
     for r in (0, 7, 3_999):
         assert trees.place(q[r : r + 1], 0, len(trees))[1].tolist() == leaf[row == r].tolist()
     assert len(trees.base) == len(trees) + 1 and leaf.max() < trees.base[-1]
+
+
+def test_word_cache_equals_the_library_on_every_plain_character():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(queries.WORD_TOKENIZER)
+    lib, mine = Tokenizer.from_file(path), pfor.WordTokenizer(path)
+    texts = [f"{c} a{c}b{c}{c} 1{c}2 {c}'s it'{c} X{c}" for c in map(chr, range(0x300))] + ["w" * 3_000 + " end", "äÖß Straße naïve Été "]
+    for t, raw in zip(texts, mine.encode_many(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, ascii(t)
+    assert not any(len(w) > pfor.CACHED_LENGTH for w in mine.cache)
+
+
+def test_words_go_to_the_model_once_and_ids_stay_in_the_worker(spark, awkward, monkeypatch):
+    """The library's search for words is only for texts outside the plain range."""
+    path = queries.tokenizer_path(queries.WORD_TOKENIZER)
+    mine = pfor.WordTokenizer(path)
+
+    class Library:
+        def encode(self, text, **_):
+            raise AssertionError(text)
+
+    mine.lib = Library()
+    if hasattr(mine.cache, "lib"):
+        mine.cache.lib = mine.lib
+    assert [len(x) > 0 for x in mine.encode_many(["plain words, 12 of them", None, "été"])] == [True, False, True]
+    monkeypatch.setattr(pfor, "CACHE_PIECES", 2)
+    assert mine.encode("one two three four") == b"".join(map(mine.encode, ("one", "two", "three", "four"))) and len(mine.cache) <= 2
+    folder, rows = pfor.token_files(awkward, path)
+    want = sorted((r.part, r.seq, r.file_start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in rows.collect())
+    assert sorted((r.part, r.seq, r.file_start, r.n_tokens, r.ids_crc32) for r in pfor.read_digests(spark, folder).collect()) == want
