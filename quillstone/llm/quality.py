@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import slices, spread, to_batch
+from quillstone.llm.common import slices, spread, to_batch, trim
 
 BUCKETS = 1 << 24
 SAMPLE = 4_000
@@ -347,14 +347,22 @@ def score_documents(docs: DataFrame, model: OrdinalModel, *, keep_at: float = KE
     return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
+#: Whole rows that pass a worker at a time.
+KEEP_ROWS = 1_024
+
+
 def keep_documents(docs: DataFrame, model: OrdinalModel, *, keep_at: float = KEEP_AT) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, unchanged, in one narrow pass."""
     at = docs.columns.index("text")
 
     def run(batches):
         scorer = Scorer(model)
-        for b in batches:
-            keep = [bool(scorer.tails(t.as_py())[-1] >= keep_at) for t in b.column(at)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, KEEP_ROWS):
+                b = whole.slice(lo, KEEP_ROWS)
+                keep = [bool(scorer.tails(t.as_py())[-1] >= keep_at) for t in b.column(at)]
+                yield b.filter(pa.array(keep, pa.bool_()))
+        del scorer
+        trim()  # idle workers stay beside the stages that follow
 
     return docs.mapInArrow(run, docs.schema)

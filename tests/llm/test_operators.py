@@ -601,3 +601,19 @@ def test_words_go_to_the_model_once_and_ids_stay_in_the_worker(spark, awkward, m
     folder, rows = pfor.token_files(awkward, path)
     want = sorted((r.part, r.seq, r.file_start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in rows.collect())
     assert sorted((r.part, r.seq, r.file_start, r.n_tokens, r.ids_crc32) for r in pfor.read_digests(spark, folder).collect()) == want
+
+
+def test_kept_documents_pass_in_small_batches_and_memory_goes_back(monkeypatch):
+    import pyarrow as pa
+
+    class Docs:
+        columns, schema = ["doc_id", "text"], None
+
+        def mapInArrow(self, run, _):
+            return run
+
+    calls = []
+    monkeypatch.setattr(quality, "trim", lambda: calls.append(1), raising=False)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5_000)), pa.array(["a b c"] * 5_000)], names=["doc_id", "text"])
+    out = list(quality.keep_documents(Docs(), quality.OrdinalModel())([batch]))
+    assert sum(b.num_rows for b in out) == 5_000 and max(b.num_rows for b in out) <= 1_024 and calls == [1]
